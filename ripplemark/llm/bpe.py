@@ -4,25 +4,29 @@ A word here is what stands between two single spaces that have no white space be
 the space before it: the tokenizer's pattern always breaks there, so each word is encoded on its
 own, by the tokenizer library, once in the whole corpus.
 
-Texts are dealt into chunks of about CHUNK_BYTES.  A chunk is exploded into its distinct words
-(word, chunk); the global shuffle by word groups them, encodes each distinct word once, and joins
-the ids back to the chunks that use it; each chunk then puts its texts together again by
-position.  Shuffled are the texts once, and each chunk's distinct words there and back, not every
+Texts are packed into chunks of about CHUNK_BYTES, compressed.  A chunk is exploded into its
+distinct words, which are dealt by their hash into buckets; the global shuffle by bucket brings
+equal words together, each distinct word is encoded once, and the ids go back to the chunks that
+use the word; each chunk then puts its texts together again by position.  Shuffled are the texts
+once, and each chunk's distinct words there and ids back, as compressed lists, not every
 occurrence.  Decoding joins ids with the token-byte table (as many rows as the vocabulary).
 
 Null texts count as empty and have no ids.  Repeated rows are encoded each; further columns are
-kept.  A word of any length is encoded whole.  The output `ids` is binary: little-endian unsigned
-32-bit integers.
+kept, but for one named like the output.  A word of any length is encoded whole.  The output
+`ids` is binary: little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,62 +56,144 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def distinct_words(chunks: DataFrame) -> DataFrame:
-    """(chunk, word) for the distinct words of each chunk; a first word has a line feed before it."""
+def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, payload): the rows in chunks of about chunk_bytes, as compressed Arrow streams.
 
-    def each(table: pa.Table) -> pa.Table:
-        found: set[str] = set()
-        for text in table.column("text"):
-            text = text.as_py()
-            if text:
-                parts = split_words(text)
-                found.add("\n" + parts[0])
-                found.update(parts[1:])
-        return pa.table({"chunk": pa.array(np.full(len(found), table.column("chunk")[0].as_py()), pa.int64()), "word": pa.array(list(found), pa.string())})
+    A chunk's number is made of its task's number and its place in the task.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 24
+        held: list[pa.RecordBatch] = []
+        size = 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+
+        def packed() -> pa.RecordBatch:
+            nonlocal task
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            task += 1
+            return pa.RecordBatch.from_arrays([pa.array([task - 1], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "payload"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size >= chunk_bytes:
+                yield packed()
+                held, size = [], 0
+        if held:
+            yield packed()
+
+    return docs.mapInArrow(each, "chunk bigint, payload binary")
+
+
+def _texts(payload: bytes, text: str) -> tuple[pa.Table, list[str | None]]:
+    table = pa.ipc.open_stream(payload).read_all()
+    return table, table.column(text).to_pylist()
+
+
+def _dealt(texts: list[str | None], buckets: int) -> list[list[str]]:
+    """The distinct words by bucket, each in order; a first word has a line feed before it."""
+    found: set[str] = set()
+    for t in texts:
+        if t:
+            parts = split_words(t)
+            found.add("\n" + parts[0])
+            found.update(parts[1:])
+    out: list[list[str]] = [[] for _ in range(buckets)]
+    for w in sorted(found):
+        out[zlib.crc32(w.encode()) % buckets].append(w)
+    return out
 
-    return chunks.groupBy("chunk").applyInArrow(each, "chunk bigint, word string")
+
+def distinct_words(chunks: DataFrame, buckets: int, text: str = "text") -> DataFrame:
+    """(bucket, chunk, words): each chunk's distinct words, as compressed lists by bucket."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            for chunk, payload in zip(b.column(0), b.column(1), strict=True):
+                lists = _dealt(_texts(payload.as_py(), text)[1], buckets)
+                some = [k for k, x in enumerate(lists) if x]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk.as_py()] * len(some), pa.int64()), pa.array([squeeze("\0".join([f"{len(w)}:{w}" for w in lists[k]]).encode()) for k in some], pa.binary())], ["bucket", "chunk", "words"])
+
+    return chunks.mapInArrow(each, "bucket int, chunk bigint, words binary")
+
+
+def _listed(blob: bytes) -> list[str]:
+    """The words of a list, each after its length, as a word may hold any sign."""
+    data, out, at = zstandard.ZstdDecompressor().decompress(blob).decode(), [], 0
+    while at < len(data):
+        colon = data.index(":", at)
+        end = colon + 1 + int(data[at:colon])
+        out.append(data[colon + 1 : end])
+        at = end + 1
+    return out
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(chunks, word) with the ids of each word, as binary; each row is encoded once."""
+    """(chunk, bucket, ids): the ids of each list's words; within a bucket each word is encoded once.
+
+    A task holds the words of its buckets: a fixed part of the corpus's distinct words.
+    """
     shared = words.sparkSession.sparkContext.broadcast(ranks)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(shared.value, pattern).encode_ordinary
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        known: dict[str, bytes] = {}
         for b in batches:
-            ids = [np.array(encode(w[1:] if w[:1] == "\n" else " " + w), "<u4").tobytes() for w in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["chunks", "word", "ids"])
+            out = []
+            for blob in b.column(2):
+                ids = []
+                for w in _listed(blob.as_py()):
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = np.array(encode(w[1:] if w[:1] == "\n" else " " + w), "<u4").tobytes()
+                    ids.append(got)
+                out.append(squeeze(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(out, pa.binary()), pa.array([len(_) for _ in out], pa.int32())], ["chunk", "bucket", "ids", "size"])
 
-    return words.select("chunks", "word").mapInArrow(each, "chunks array<bigint>, word string, ids binary")
+    return words.mapInArrow(each, "chunk bigint, bucket int, ids binary, size int").drop("size")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The documents with `ids`."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, -(-total // chunk_bytes))
-    W.small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in (text, "ids")]
-    chunks = docs.select(F.pmod(F.xxhash64(text, *[docs[c] for c in others[:1]]), F.lit(n)).alias("chunk"), F.struct(*others).alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"), docs[text].isNull().alias("none")).repartition(n, "chunk")
-    by_word = distinct_words(chunks).groupBy("word").agg(F.collect_list("chunk").alias("chunks"))
-    back = encode_words(by_word, ranks, pattern).select(F.explode("chunks").alias("chunk"), "word", "ids")
-    schema = f"row {chunks.schema['row'].dataType.simpleString()}, text string, none boolean, ids binary"
-
-    def join(table: pa.Table, known: pa.Table) -> pa.Table:
-        ids = dict(zip(known.column("word").to_pylist(), known.column("ids").to_pylist(), strict=True))
+    spark = docs.sparkSession
+    W.small_batches(spark)
+    docs = docs.drop("ids")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = pack(docs, chunk_bytes).repartition(buckets, "chunk")
+    words = distinct_words(chunks, buckets, text).repartition(buckets, "bucket")
+    back = encode_words(words, ranks, pattern)
+    schema = docs.withColumn("ids", F.lit(b"")).schema
+    names = docs.columns
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        table, texts = _texts(left.column("payload")[0].as_py(), text)
+        lists = _dealt(texts, buckets)
+        ids: dict[str, bytes] = {}
+        for k, blob in zip(right.column("bucket").to_pylist(), right.column("ids"), strict=True):
+            data = zstandard.ZstdDecompressor().decompress(blob.as_py())
+            n = len(lists[k])
+            ends = (np.cumsum(np.frombuffer(data, "<u4", n)) * 4 + 4 * n).tolist()
+            at = 4 * n
+            for w, end in zip(lists[k], ends, strict=True):
+                ids[w] = data[at:end]
+                at = end
         out = []
-        for t in table.column("text"):
-            t = t.as_py()
+        for t in texts:
             if t:
                 parts = split_words(t)
                 parts[0] = "\n" + parts[0]
                 out.append(b"".join(map(ids.__getitem__, parts)))
             else:
                 out.append(b"")
-        return table.select(["row", "text", "none"]).append_column("ids", pa.array(out, pa.binary()))
+        return table.rename_columns(names).append_column("ids", pa.array(out, pa.binary()))
 
-    done = chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, schema)
-    kept = [F.when(~F.col("none"), F.col("text")).alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != "ids"]
-    return done.select(*kept, "ids")
+    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded") -> DataFrame:
