@@ -4,7 +4,8 @@ The Jaccard distance of shingle sets is a metric.  Documents are dealt into regi
 documents, and each region is joined by its distances to the pivot:
 
 1. Each set's shingles are put into one global order, rare ones first (shingles that many
-   documents of some batch share come last, by their count).  Two sets that link share one of
+   documents of some batch share come last, by their count; these
+   are counted over all documents).  Two sets that link share one of
    their first |x| - ceil(0.75 |x|) + 1 shingles; the smallest document that holds such a shingle
    is its pivot, and every other holder is placed in the pivot's region.  So linked documents
    always meet in a region, and a document near several pivots is replicated to each: the regions
@@ -36,14 +37,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .substrings import doc_filter, split_docs
 
 WIDTH = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Shingles that come last in the order: at most so many, broadcast (1 MB).
-HOT_SHINGLES = 65_536
-#: A shingle is counted as hot from this share of a batch's documents on (and from 4).
-HOT_SHARE = 0.003
+#: Shingles that come last in the order: at most so many, broadcast (4 MB).
+HOT_SHINGLES = 262_144
+#: A shingle is counted as hot from this share of so many documents of a task on (and from 4).
+HOT_SHARE, HOT_DOCS = 0.0005, 10_000
 #: Documents of a region joined at once.
 PART = 256
 ROUNDS = 3
@@ -70,12 +72,20 @@ def hot_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(shingle, n): the shingles that most documents share, at most HOT_SHINGLES; counted over all."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def count() -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            hot = n >= max(4, HOT_SHARE * len(held))
+            return pa.RecordBatch.from_arrays([pa.array(s[hot].view(np.int64)), pa.array(n[hot].astype(np.int64))], ["shingle", "n"])
+
         for b in batches:
-            sets = [s for _, _, data, offs in W.slices(b.column(1)) for s in _sets(data, offs, width)]
-            if sets:
-                s, n = np.unique(np.concatenate(sets), return_counts=True)
-                hot = n >= max(4, HOT_SHARE * len(sets))
-                yield pa.RecordBatch.from_arrays([pa.array(s[hot].view(np.int64)), pa.array(n[hot].astype(np.int64))], ["shingle", "n"])
+            held += [s for _, _, data, offs in W.slices(b.column(1)) for s in _sets(data, offs, width)]
+            if len(held) >= HOT_DOCS:
+                yield count()
+                held.clear()
+        if held:
+            yield count()
 
     found = docs.mapInArrow(each, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     return found.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES)
@@ -188,7 +198,8 @@ def _join_parts(parts: DataFrame, texts: DataFrame, width: int, percent: int) ->
             far.append(d[left])
         return pa.Table.from_arrays([pa.array(np.arange(sum(map(len, a))) < len(child)), pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(far))], schema=_JOINED)
 
-    rows = parts.join(texts, "doc_id").select("region", "part", "parts", "pivot", "doc_id", "text")
+    wanted = split_docs(texts, doc_filter(parts.select("doc_id").distinct()), True)
+    rows = parts.join(wanted, "doc_id").select("region", "part", "parts", "pivot", "doc_id", "text")
     return rows.groupBy("region", "part").applyInArrow(each, "link boolean, a bigint, b bigint, d double")
 
 
@@ -217,9 +228,13 @@ def _block_pairs(members: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, info: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) whose components are those of all links between the sets with prefixes in info."""
-    sig = info.filter(F.size("prefix") > 0).select("doc_id", F.explode("prefix").alias("sig"))
-    own = Window.partitionBy("sig")
-    placed = sig.select("doc_id", F.min("doc_id").over(own).alias("region"), F.max("doc_id").over(own).alias("last")).filter("last > region")
+    sig = info.filter(F.size("prefix") > 0).select("doc_id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("sig"))
+    # holders in order of size: sets of which the next is too large to link are apart from it and all after it
+    own = Window.partitionBy("sig").orderBy("n", "doc_id")
+    less, more = F.lag("n").over(own), F.lead("n").over(own)
+    apart = F.sum(F.when(100 * F.col("less") >= percent * F.col("n"), 0).otherwise(1)).over(own)
+    chained = sig.withColumn("less", less).withColumn("more", more).withColumn("chain", apart).filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more")))
+    placed = chained.select("doc_id", F.min("doc_id").over(Window.partitionBy("sig", "chain")).alias("region"))
     members = W.cut(placed.select("region", "doc_id").distinct()).withColumn("pivot", F.col("region"))
     found = None
     for k in range(ROUNDS + 1):

@@ -103,7 +103,7 @@ def doc_filter(ids: DataFrame) -> np.ndarray:
     return out.view(_U)
 
 
-def _split(docs: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
+def split_docs(docs: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
     """The rows whose doc_id may be (inside) or is surely not in the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -253,7 +253,7 @@ def _words_of_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], ["anchor", "doc_id", "start", "words", "hot"])
 
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("slices"))
-    some = _split(docs, doc_filter(lists), True)
+    some = split_docs(docs, doc_filter(lists), True)
     return some.join(lists, "doc_id").select("doc_id", "text", "slices").mapInArrow(each, "anchor bigint, doc_id bigint, start int, words binary, hot boolean")
 
 
@@ -305,8 +305,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    clean = _split(texts, bits, False).mapInArrow(each, _RESULT)
-    rest = _split(texts, bits, True).join(spots, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(each, _RESULT)
+    clean = split_docs(texts, bits, False).mapInArrow(each, _RESULT)
+    rest = split_docs(texts, bits, True).join(spots, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(each, _RESULT)
     return clean.unionByName(rest)
 
 
