@@ -3,15 +3,15 @@
 The Jaccard distance of shingle sets is a metric.  Documents are dealt into regions around pivot
 documents, and each region is joined by its distances to the pivot:
 
-1. Each set's shingles are put into one global order, rare ones first (shingles that many
-   documents of some batch share come last, by their count; these
-   are counted over all documents).  Two sets that link share one of
-   their first |x| - ceil(0.75 |x|) + 1 shingles; the smallest document that holds such a shingle
-   is its pivot, and every other holder is placed in the pivot's region.  So linked documents
-   always meet in a region, and a document near several pivots is replicated to each: the regions
-   are Voronoi-like cells with their boundary documents.  (Pivots that are picked at random give
-   nothing here: almost all pairs of documents lie at distance 1, so no triangle inequality
-   tells the cells apart.  Pivots from shared rare shingles lie near their documents.)
+1. Each set's shingles are put into one global order: rare ones first, by hash; shingles that many
+   documents share come last, by their count over all documents.  Two sets that link share some
+   of their first shingles (see shared_least); sets that share fewer with all others are alone.
+   The smallest document that holds a shared shingle is its pivot, and every other holder of a
+   size that can link is placed in the pivot's region.  So linked documents always meet in a
+   region, and a document near several pivots is replicated to each: the regions are Voronoi-like
+   cells with their boundary documents.  (Pivots that are picked at random give nothing here:
+   almost all pairs of documents lie at distance 1, so no triangle inequality tells the cells
+   apart.  Pivots from shared rare shingles lie near their documents.)
 2. A small region is joined whole.  A large one is dealt into parts that each hold the pivot; each
    part is joined whole, and the distance d to the pivot is kept.  Documents with d <= 0.25 link
    with the pivot, so with each other; what remains are pairs with a document farther off, and by
@@ -46,11 +46,22 @@ PERCENT = 75
 HOT_SHINGLES = 262_144
 #: A shingle is counted as hot from this share of so many documents of a task on (and from 4).
 HOT_SHARE, HOT_DOCS = 0.0005, 10_000
+#: Percent of a set's size by which its prefix is longer, so that links need as many shared shingles.
+EXTRA = 8
 #: Documents of a region joined at once.
 PART = 256
 ROUNDS = 3
 
 
+def shared_least(n):
+    """How many of their first |x| - ceil(0.75 |x|) + shared_least(|x|) shingles two sets of n or more share if they link.
+
+    Shingles left out of a prefix come after all of it in the one order, so the shared shingles that
+    either prefix lacks are those that one of them lacks.
+    """
+    return 1 + EXTRA * n // 100
+
+
 def _sets(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text."""
     data = W.LOWER[data]
@@ -116,7 +127,7 @@ def signatures(docs: DataFrame, hot: np.ndarray, width: int = WIDTH, percent: in
                         prefix.append(None)
                         continue
                     seen.add(key)
-                    k = len(s) - -(-percent * len(s) // 100) + 1
+                    k = len(s) - -(-percent * len(s) // 100) + shared_least(len(s))
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         is_hot = known[at] == s
@@ -234,7 +245,11 @@ def links(docs: DataFrame, info: DataFrame, width: int = WIDTH, percent: int = P
     less, more = F.lag("n").over(own), F.lead("n").over(own)
     apart = F.sum(F.when(100 * F.col("less") >= percent * F.col("n"), 0).otherwise(1)).over(own)
     chained = sig.withColumn("less", less).withColumn("more", more).withColumn("chain", apart).filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more")))
-    placed = chained.select("doc_id", F.min("doc_id").over(Window.partitionBy("sig", "chain")).alias("region"))
+    # a set that links shares so many shingles with one other set, so at least so many with any
+    least = 1 + F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100)
+    enough = chained.withColumn("shared", F.count("*").over(Window.partitionBy("doc_id"))).filter(F.col("shared") >= least)
+    group = Window.partitionBy("sig", "chain")
+    placed = enough.select("doc_id", F.min("doc_id").over(group).alias("region"), F.max("doc_id").over(group).alias("last")).filter("last > region")
     members = W.cut(placed.select("region", "doc_id").distinct()).withColumn("pivot", F.col("region"))
     found = None
     for k in range(ROUNDS + 1):
