@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-CHUNK_BYTES = 10_000_000
+CHUNK_BYTES = 5_000_000
 
 #: A space beside which white space or an end of the text stands: the text isn't split plainly.
 _ODD = re.compile(r"(?:^|\s) | (?:\s|$)")
