@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +30,20 @@ CACHE_WORDS = 600_000
 #: Words given to the tokenizer in one text.
 _JOINED = 4000
 
-#: Signs that Python's split() takes for white space and the tokenizer doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Signs that splitting takes for white space and the tokenizer doesn't, and marks that may
+#: combine with the letter before them; texts with one are encoded as a whole.
+_ODD = "[\x1c-\x1f\u0300-\u036f]"
 
-#: A comma or full stop alone between a letter and white space is a token of its own for the
-#: tokenizer too; set apart, it leaves fewer distinct words.
-_MARK = re.compile(r"(?<=[a-zA-Z])([.,])(?=\s|$)")
+#: A sign after a letter or digit begins a token (but for an apostrophe); set apart from what is
+#: before, it leaves fewer distinct words.
+_LETTERS = "a-zÀ-ÖØ-öø-ÿ"
+_MARK = rf"([{_LETTERS}0-9])([!-&(-/:-@\[-`{{-~])"
+
+#: Words of these letters are one token each before merging.
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+
+#: The character that byte-level BPE writes for each byte of those letters that has a name of its own.
+_BYTE_CHARS = {x: chr(290 + x - 0x80) for x in range(0x80, 0xA1)} | {0xAD: chr(323)}
 
 _cache: dict[str, dict[str, bytes]] = {}
 
@@ -42,35 +51,64 @@ _cache: dict[str, dict[str, bytes]] = {}
 class _WordIds:
     """Ids of words between white space; each distinct word is encoded once a batch at most.
 
-    The tokenizer reads white space of any length as a break between words, so a text's ids are
-    its words' ids; runs of words are encoded together and cut apart by their character offsets.
+    The tokenizer reads white space of any length as a break between words and ignores case, so a
+    text's ids are its words' ids.  Runs of words are encoded together: words of plain letters
+    by the merges alone and cut apart at the tokens that end words, others by the whole tokenizer
+    and cut apart by their character offsets.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = _cache.setdefault(path, {})
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        odd = {k: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for k, t in enumerate(texts) if _ODD.search(t)}
-        parts = [[] if k in odd else _MARK.sub(r" \1", t).split() for k, t in enumerate(texts)]
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known = _cache.setdefault(path, {"": b""})
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts), _MARK, r"\1 \2")
+        lists = pc.utf8_split_whitespace(apart)
+        found = lists.flatten().dictionary_encode()
+        words, codes = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = [w for w in {w for p in parts for w in p} if w not in self.known]
-        for k in range(0, len(new), _JOINED):
-            self._learn(new[k : k + _JOINED])
-        return [odd[k] if k in odd else b"".join(map(self.known.__getitem__, p)) for k, p in enumerate(parts)]
+            self.known[""] = b""
+        self._learn([w for w in words if w not in self.known])
+        parts = [self.known[w] for w in words]
+        pool, size = np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], np.int64)
+        n = size[codes]
+        done = np.concatenate([[0], np.cumsum(n)])
+        flat = pool[np.repeat((np.cumsum(size) - size)[codes] - done[:-1], n) + np.arange(done[-1])]
+        edges = done[lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()]
+        out = [flat[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for k in odd:
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        first = np.array([a for a, _ in found.offsets], np.int64)
-        starts = np.cumsum([0, *[len(w) + 1 for w in words]])
-        cuts = np.searchsorted(first, starts)
-        for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
-            self.known[w] = ids[a:b].tobytes()
+        plain = sorted((w for w in words if _PLAIN.fullmatch(w)), key=str.isascii)
+        other = [w for w in words if not _PLAIN.fullmatch(w)]
+        for k in range(0, len(plain), _JOINED):
+            some = plain[k : k + _JOINED]
+            joined = " ".join(some).lower()
+            if not joined.isascii():
+                joined = joined.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            self._keep(some, ids, np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]))
+        for k in range(0, len(other), _JOINED):
+            some = other[k : k + _JOINED]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            first = np.array([a for a, _ in found.offsets], np.int64)
+            self._keep(some, np.array(found.ids, "<u4"), np.searchsorted(first, np.cumsum([0, *[len(w) + 1 for w in some]])))
+
+    def _keep(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        blob, cuts = ids.tobytes(), (cuts * 4).tolist()
+        self.known.update((w, blob[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
@@ -84,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
         words = _WordIds(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            got = [x + end for x in words.texts(b.column(1).to_pylist())]
+            got = [x + end for x in words.texts(b.column(1))]
             size = np.array([len(x) // 4 for x in got], np.int64)
             flat = pa.array(np.frombuffer(b"".join(got), "<i4"), pa.int32())
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)

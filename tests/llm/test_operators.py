@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -125,6 +126,18 @@ def test_output(spark, docs, tmp_path):
     assert output.read_tokens(spark, path, [5]).count() == 1
 
 
+def test_word_ids_of_odd_signs():
+    """Against the tokenizer: white space, controls, apostrophes, accents, marks, long s, digits."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    signs = "abcABZ019 \t\n\x0b\x1c\x85\xa0 '’s.,;<|>[]`{}~^_-+=*&#/É\u0338\u20d2\u0301ßÿÞøÆæŒœİıſKÅΣςσ中½²ªºµ×÷\u200bﬁ"
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list(signs), rng.integers(0, 60))) for _ in range(3000)] + ["<|endoftext|>", "a<|startoftext|>b", "", " ", "don't 'S I'LL've x's.'re", "a" * 50000]
+    got = output._WordIds(path).texts(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
