@@ -6,7 +6,8 @@ is enough to find it: the window's rarest word by document frequency over the wh
 Document words that equal a prefix token give candidates; length and positional bounds (the
 window must fit around that word) drop most of them, and the rest are verified word by word over
 the item-sized window.  The items are worked through in blocks of a fixed number of windows, so
-what is broadcast has a bound; documents are never shuffled.
+what is broadcast has a bound.  Texts are never shuffled; if there are several blocks, they are
+written once with a row key, and the blocks' hits of a row are put together by it.
 
 Null or empty texts have no words and no hits; repeated items count by item_id; items without
 words match nothing.  Repeated documents each get their row; further columns are ignored.
@@ -27,7 +28,7 @@ WINDOW = 13
 #: Windows broadcast at once: at most 100,000 of 13 hashes (10 MB) and their texts.
 BLOCK_WINDOWS = 100_000
 
-_MATCHES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+_MATCHES = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
 def _words_of(data: np.ndarray, offs: np.ndarray):
@@ -128,12 +129,16 @@ class _Index:
 
 
 def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per document its number of words, the hit words' positions and the items with windows in it.
+    """Per row its key, its number of words, the hit words' positions and the items with windows in it.
 
-    docs: doc_id and text as as_bytes() gives them; windows: of item_windows().
+    docs: doc_id and text as as_bytes() gives them, and a row_key if there is one that stays the
+    same when docs is read again; windows: of item_windows().
     """
     spark = docs.sparkSession
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
+    if "row_key" not in docs.columns:
+        docs = docs.withColumn("row_key", F.monotonically_increasing_id())
+        docs = W.cut(docs) if blocks > 1 else docs
     out = None
     for k in range(blocks):
         mine = windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
@@ -145,7 +150,7 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                ids = batch.column(0)
+                ids, keys = batch.column(0), batch.column(2)
                 for lo, hi, data, offs in W.slices(batch.column(1)):
                     data, starts, ends, firsts, h = _words_of(data, offs)
                     hits: list[list[int]] = [[] for _ in range(hi - lo)]
@@ -166,14 +171,14 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
                             hits[d] = (hit[owner[hit] == d] - firsts[d]).tolist()
                         for d, r in np.unique(np.stack([owner[start], row], 1), axis=0) if len(row) else ():
                             items[d] += index.items[r]
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(firsts)), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], schema=_MATCHES)
+                    yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(firsts)), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], schema=_MATCHES)
 
-        part = docs.mapInArrow(each, "doc_id bigint, n_words bigint, hits array<int>, items array<string>")
-        out = part if out is None else out.unionByName(part)
+        part = docs.mapInArrow(each, "row_key bigint, doc_id bigint, n_words bigint, hits array<int>, items array<string>")
+        # the first block gives every row, the others those with hits
+        out = part if out is None else out.unionByName(part.filter(F.size("hits") > 0))
     if blocks > 1:
-        some = out.filter(F.size("items") > 0).groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        whole = out.filter(F.size("items") == 0).select("doc_id", "n_words").distinct()
-        out = whole.join(some, ["doc_id", "n_words"], "left").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("hits", "array<int>"), ("items", "array<string>"))})
+        whole = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")]
+        out = out.groupBy("row_key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *whole)
     return out
 
 
@@ -181,7 +186,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
     """Per document: doc_id, n_words, hits (word positions), items (item ids), n_hit, contaminated."""
     found = find_windows(W.as_bytes(docs, doc_id, text), item_windows(items, window=window))
     n = F.size("hits").cast("long")
-    return found.withColumn("n_hit", n).withColumn("contaminated", (n > 0) & (20 * n >= F.col("n_words")))
+    return found.drop("row_key").withColumn("n_hit", n).withColumn("contaminated", (n > 0) & (20 * n >= F.col("n_words")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,25 @@ def test_decontamination(spark, docs):
         assert (got[k].n_words, sorted(got[k].hits), got[k]["items"]) == (len(w), sorted(hit), sorted(its))
 
 
+def test_decontamination_in_blocks(spark, monkeypatch, tmp_path):
+    """Blocks of a window: documents that match in every block, and repeated and null ids, keep their rows and hits."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(6)]
+    dump = " ".join(t for _, t in items)
+    rows = [(1, dump), (2, "nothing of it"), (3, items[4][1] + " more"), (3, items[4][1] + " more"), (3, "clean"), (None, items[2][1]), (None, "clean too"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return sorted(((r.doc_id is None, r.doc_id, r.n_words, list(r.hits), list(r["items"]), r.n_hit, r.contaminated) for r in decontam.contamination(docs, bench).collect()), key=str)
+
+    whole = found()
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 1)
+    assert decontam.item_windows(bench).count() == 18 and found() == whole and len(whole) == len(rows)
+    assert (False, 1, 90, list(range(90)), [str(k) for k in range(6)], 90, True) in whole
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert 1 not in {r.doc_id for r in decontam.decontaminate(spark, docs, str(tmp_path)).collect()}
+
+
 def sets_of(texts):
     out = []
     for _, t in loop(texts):
