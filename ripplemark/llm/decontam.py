@@ -10,7 +10,8 @@ what is broadcast has a bound.  Texts are never shuffled; if there are several b
 written once with a row key, and the blocks' hits of a row are put together by it.
 
 Null or empty texts have no words and no hits; repeated items count by item_id; items without
-words match nothing.  Repeated documents each get their row; further columns are ignored.
+words match nothing; items without item_id give hits and no item.  Repeated documents and those
+without doc_id each get their row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["item_id", "hashes", "words"])
 
-    frame = W.as_bytes(items.withColumn("item_key", items[item_id].cast("string")).filter("item_key is not null"), "item_key", text)
+    frame = W.as_bytes(items.withColumn("item_key", items[item_id].cast("string")), "item_key", text)
     return frame.mapInArrow(each, "item_id string, hashes array<bigint>, words binary")
 
 
@@ -95,7 +96,8 @@ class _Index:
                 self.items.append([])
                 self.words.append(key)
                 grams.append(r["hashes"])
-            self.items[known[key]].append(r["item_id"])
+            if r["item_id"] is not None:
+                self.items[known[key]].append(r["item_id"])
         self.size = np.array([len(g) for g in grams], np.int64)
         self.grams = np.zeros((len(grams), max(map(len, grams))), np.int64)
         offset = np.zeros(len(grams), np.int64)
@@ -182,17 +184,22 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return out
 
 
+def _contaminated(found: DataFrame) -> DataFrame:
+    n = F.size("hits").cast("long")
+    return found.withColumn("n_hit", n).withColumn("contaminated", (n > 0) & (20 * n >= F.col("n_words")))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, hits (word positions), items (item ids), n_hit, contaminated."""
-    found = find_windows(W.as_bytes(docs, doc_id, text), item_windows(items, window=window))
-    n = F.size("hits").cast("long")
-    return found.drop("row_key").withColumn("n_hit", n).withColumn("contaminated", (n > 0) & (20 * n >= F.col("n_words")))
+    return _contaminated(find_windows(W.as_bytes(docs, doc_id, text), item_windows(items, window=window)).drop("row_key"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
-    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents that are not contaminated, with their columns; one without doc_id is judged by itself."""
+    keyed, _ = W.with_keys(docs)
+    items = item_windows(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = _contaminated(find_windows(W.as_bytes(keyed, "row_key"), items)).filter("contaminated").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(bad, "row_key", "left_anti").select(*docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ links follow by alternating stars.  Exact copies are one set, and copies within
 out of the regions.  Null texts and texts without words have empty sets and link with nothing;
 documents with fewer words than a shingle have one shingle, their whole sequence.  Shingles are
 compared by 64-bit hashes.  Rows that repeat a doc_id are one document: the row of the smallest
-set hash stands for it.
+set hash stands for it.  Each row without a doc_id is a document of its own, after all others in
+order; a component of only such documents has no id.
 """
 
 from __future__ import annotations
@@ -287,6 +288,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    keyed, top = W.with_keys(docs, doc_id)
+    found = _near_duplicates(keyed, "row_key", text, width, percent)
+    return found.withColumns({c: W.without_keys(F.col(c), top) for c in ("doc_id", "component_id")})
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """near_duplicates() of documents that all have an id."""
     texts = W.as_bytes(docs, doc_id, text)
     hot = np.array([r["shingle"] for r in hot_shingles(texts, width).collect()][::-1], np.int64).view(np.uint64)
     info = W.cut(signatures(texts, hot, width, percent))
@@ -303,9 +311,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one of smallest doc_id, with its columns."""
-    first = near_duplicates(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component, the one of smallest doc_id (null last), with its columns."""
+    keyed, _ = W.with_keys(docs)
+    first = _near_duplicates(keyed, "row_key").filter("component_id = doc_id").select(F.col("doc_id").alias("row_key"))
+    return keyed.join(first, "row_key", "left_semi").select(*docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@
 Documents that no repeat can be in (by a Bloom filter of fixed size) are not shuffled.
 
 Null and empty texts have no words.  Texts of fewer than 50 words lose nothing.  doc_id is taken as
-a key; rows that repeat a document wholly get the same result each.  Words, grams and windows are
-compared by 64-bit hashes.
+a key; rows that repeat a document wholly get the same result each; each row without a doc_id is a
+document of its own, after all others in order.  Words, grams and windows are compared by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -281,7 +282,8 @@ _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept binary"
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every document; kept: the other words, one space apart."""
-    texts = W.as_bytes(docs, doc_id, text)
+    keyed, top = W.with_keys(docs, doc_id)
+    texts = W.as_bytes(keyed, "row_key", text)
     spots = repeats(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     bits = doc_filter(spots)
 
@@ -307,7 +309,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     clean = split_docs(texts, bits, False).mapInArrow(each, _RESULT)
     rest = split_docs(texts, bits, True).join(spots, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(each, _RESULT)
-    return clean.unionByName(rest)
+    return clean.unionByName(rest).withColumn("doc_id", W.without_keys(F.col("doc_id"), top))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

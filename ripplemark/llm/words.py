@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once; one longer text is a slice of its own.
@@ -136,3 +136,21 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_keys(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, int]:
+    """The rows with a row_key, and the greatest id: the key is the id or, where that is null, a number above all ids."""
+    ids = docs.select(docs[doc_id].cast("long").alias("id"))
+    top, nulls = ids.agg(F.max("id"), F.count_if(F.col("id").isNull())).first()
+    top = -1 if top is None else top
+    keyed = docs.withColumn("row_key", docs[doc_id].cast("long"))
+    if not nulls:
+        return keyed, top
+    # written, as the numbers would not be the same each time the rows are read
+    lost = cut(docs.filter(docs[doc_id].isNull()).withColumn("row_key", F.monotonically_increasing_id() + F.lit(top + 1)))
+    return keyed.filter("row_key IS NOT NULL").unionByName(lost), top
+
+
+def without_keys(key: Column, top: int) -> Column:
+    """The id that a key of with_keys() stands for."""
+    return F.when(key <= top, key)

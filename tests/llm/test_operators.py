@@ -212,6 +212,28 @@ def test_models_on_odd_rows(spark, docs):
     assert toxicity.toxicity(docs, docs, labels).count() == len(TEXTS)
 
 
+def test_null_ids(spark, tmp_path):
+    """Rows without an id are documents, and items, like others."""
+    other, third = BASE.replace("w", "v"), BASE.replace("w", "u")
+    rows = [(None, BASE), (7, BASE), (None, other), (None, other + " v"), (None, "some clean text"), (8, "more clean text"), (None, third), (9, third + " u"), (None, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, at int")
+    got = jaccard.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(None, 7), (7, 7), (None, None), (None, None), (None, None), (8, 8), (None, 9), (9, 9), (None, None)], key=str)
+    kept = jaccard.keep_first(spark, docs, "")
+    at = {r["at"] for r in kept.collect()}
+    assert kept.columns == docs.columns and len(at & {2, 3}) == 1 and at - {2, 3} == {1, 4, 5, 7, 8}
+    n = {(r.doc_id, bytes(r.kept).decode()): r.n_removed for r in substrings.remove_repeats(docs).collect()}
+    assert n[(7, BASE)] == n[(9, third + " u")] == n[(8, "more clean text")] == n[(None, "some clean text")] == 0
+    whole = substrings.remove_repeats(docs).groupBy("doc_id").sum("n_removed").collect()
+    assert {r[0]: r[1] for r in whole} == {7: 0, 8: 0, 9: 0, None: 360}
+    items = spark.createDataFrame([(None, BASE), (3, third)], "item_id long, text string")
+    found = sorted(((r.doc_id, r.n_hit, list(r["items"])) for r in decontam.contamination(docs, items).collect()), key=str)
+    assert found == sorted([(None, 120, []), (7, 120, []), (None, 0, []), (None, 0, []), (None, 0, []), (8, 0, []), (None, 120, ["3"]), (9, 120, ["3"]), (None, 0, [])], key=str)
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = decontam.decontaminate(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and {r["at"] for r in clean.collect()} == {2, 3, 4, 5, 8}
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_empty(spark, tmp_path, name):
     for t in ("documents", "benchmark", "labels"):
