@@ -6,7 +6,8 @@ packs, and the writer keeps a row index and a Bloom filter of doc_id for each gr
 that `read_tokens` of single documents skips stripes and row groups.  Stripes are read in
 parallel.  `layout` finds where each document's ids start in the whole corpus, from the files.
 
-Null texts count as empty: their row holds the end id alone.  Rows with equal doc_id keep all
+Ids are those of the tokenizer as its file is loaded, so an added token's string in a text is that
+token.  Null texts count as empty: their row holds the end id alone.  Rows with equal doc_id keep all
 their ids, in an order that their text decides.  An empty table writes no rows.
 """
 
@@ -48,21 +49,31 @@ _BYTE_CHARS = {x: chr(290 + x - 0x80) for x in range(0x80, 0xA1)} | {0xAD: chr(3
 _cache: dict[str, dict[str, bytes]] = {}
 
 
+def _quoted(text: str) -> str:
+    """A pattern of the text itself."""
+    return re.sub(r"([^\w\s])", r"\\\1", text, flags=re.ASCII)
+
+
 class _WordIds:
     """Ids of words between white space; each distinct word is encoded once a batch at most.
 
     The tokenizer reads white space of any length as a break between words and ignores case, so a
     text's ids are its words' ids.  Runs of words are encoded together: words of plain letters
     by the merges alone and cut apart at the tokens that end words, others by the whole tokenizer
-    and cut apart by their character offsets.
+    and cut apart by their character offsets.  Added tokens are read as text; with `added`, they
+    are what the tokenizer file makes of them: texts that hold one's string are encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole, self.odd = self.tokenizer, _ODD
+        if added:
+            self.whole = Tokenizer.from_file(path)
+            self.odd = "|".join([_ODD, *(f"(?i:{_quoted(t.content)})" for t in self.whole.get_added_tokens_decoder().values())])
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -70,7 +81,7 @@ class _WordIds:
         self.known = _cache.setdefault(path, {"": b""})
 
     def texts(self, texts: pa.Array) -> list[bytes]:
-        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
         apart = pc.replace_substring_regex(pc.ascii_lower(texts), _MARK, r"\1 \2")
         lists = pc.utf8_split_whitespace(apart)
         found = lists.flatten().dictionary_encode()
@@ -87,7 +98,7 @@ class _WordIds:
         edges = done[lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()]
         out = [flat[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         for k in odd:
-            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+            out[k] = np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
     def _learn(self, words: list[str]) -> None:
@@ -119,7 +130,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     ordered = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordIds(tokenizer)
+        words = _WordIds(tokenizer, added=True)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             got = [x + end for x in words.texts(b.column(1))]

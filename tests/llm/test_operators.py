@@ -157,6 +157,21 @@ def test_word_ids_of_odd_signs():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_output_of_added_tokens(spark, tmp_path):
+    """Against the tokenizer as loaded: added tokens in a text, alone, within words, in capitals and cut short."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> there", "<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|> x", "<|endoftext", "<<|endoftext|>|>", "\u00e9<|endoftext|>\u0301 <| endoftext |>", "none of it", ""]
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [3306, 49407, 997]
+    output.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"file://{tmp_path}/orc", path, partitions=2)
+    got = {r.doc_id: r for r in output.layout(spark, f"file://{tmp_path}/orc").collect()}
+    at = 0
+    for k, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert (got[k].start, got[k].n_tokens, got[k].crc) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        at += len(ids)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
