@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once; one longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
-#: Rows that Spark puts in an Arrow batch for these operators.
-BATCH_ROWS = 1000
+#: Rows and bytes that Spark puts in an Arrow batch for these operators.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
+#: Bytes of words hashed at once; one longer word is hashed by itself.
+HASH_BYTES = 262_144
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -31,7 +33,11 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts fit in a Python worker."""
+    """Keep Arrow batches small, so that long texts fit in a Python worker.
+
+    The session keeps these settings, as plans run after this call.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -93,13 +99,20 @@ def _powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same in every process."""
-    if not len(starts):
-        return np.empty(0, _U)
     size = ends - starts
-    first = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) - np.repeat(first, size)
-    part = (data[np.repeat(starts, size) + at].astype(_U) + _U(1)) * _powers(int(size.max()))[at]
-    return mix(np.add.reduceat(part, first) + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+    out = np.empty(len(starts), _U)
+    if not len(starts):
+        return out
+    upto, power = np.cumsum(size), _powers(int(size.max()))
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - size[lo] + HASH_BYTES, side="right")))
+        mine, first = size[lo:hi], upto[lo:hi] - size[lo:hi] - (upto[lo] - size[lo])
+        at = np.arange(int(mine.sum())) - np.repeat(first, mine)
+        part = (data[np.repeat(starts[lo:hi], mine) + at].astype(_U) + _U(1)) * power[at]
+        out[lo:hi] = mix(np.add.reduceat(part, first) + mine.astype(_U) * _U(0xD6E8FEB86659FD93))
+        lo = hi
+    return out
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -117,12 +130,14 @@ def owners(firsts: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share; a local one only where none is set and Spark runs on one machine (tests)."""
     import tempfile
     import uuid
 
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", f"file://{top}")
     if spark.sparkContext.getCheckpointDir() is None:

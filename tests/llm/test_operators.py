@@ -108,15 +108,18 @@ def sets_of(texts):
     return out
 
 
-@pytest.mark.parametrize(("part", "rounds"), [(256, 3), (2, 3), (2, 0)])
-def test_jaccard(spark, docs, monkeypatch, part, rounds):
+@pytest.mark.parametrize(("part", "weight", "hot"), [(256, 500_000, True), (3, 500_000, True), (2, 500_000, False), (256, 300, True)])
+def test_jaccard(spark, docs, monkeypatch, part, weight, hot):
+    """Whole regions; cells, windows and blocks of few documents; without hot shingles; parts of few shingles."""
     monkeypatch.setattr(jaccard, "PART", part)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "WEIGHT", weight)
+    monkeypatch.setattr(jaccard, "HOT_SHINGLES", 1000 if hot else 0)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 2)
     rng = np.random.default_rng(1)
     texts = list(TEXTS)
-    for _ in range(25):
+    for k in range(40):
         w = BASE.split()
-        for at in rng.integers(0, len(w), 3):
+        for at in rng.integers(0, len(w), 2 + k % 3):
             w[at] = f"r{rng.integers(9)}"
         texts.append(" ".join(w[: rng.integers(80, 121)]))
     sets = sets_of(texts)
