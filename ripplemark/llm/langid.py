@@ -11,7 +11,6 @@ with nothing to learn from, every text is `und`.  Repeated documents each get th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,6 @@ LEAST_SHARE = 0.05
 #: Cost of a further language in the set, in units of log(number of trigrams).
 PENALTY = 2.0
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 0x20, np.uint8)
 for _b in range(256):
     if _b >= 0x80 or 0x61 <= _b <= 0x7A:
@@ -125,7 +123,7 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
                 at = np.searchsorted(owner, np.arange(hi - lo + 1))
                 for k in range(hi - lo):
                     u, c = np.unique(slot[at[k] : at[k + 1]], return_counts=True)
-                    if not langs or not _LETTER.search(data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace")):
+                    if not langs or not any(map(str.isalpha, data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace"))):
                         out.append(("und", 0.0, []))
                         continue
                     share, score = choose(logp[:, u], c.astype(float)) if len(u) else (np.full(len(langs), 1 / len(langs)), 1 / len(langs))
