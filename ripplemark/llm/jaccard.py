@@ -23,8 +23,8 @@ documents, and each region is joined by its distances to its pivots:
    so is joined in blocks: loose documents with all.  Nothing is dropped.
 
 Regions emit a star of links for each component they find, not all pairs; components over the
-links follow by alternating stars.  Exact copies are one set, and copies within a task are left
-out of the regions.  Null texts and texts without words have empty sets and link with nothing;
+links follow by alternating stars.  Exact copies are one set; those of the COPIES sets with most
+copies, and copies within a task, are left out of the regions (the others meet there).  Null texts and texts without words have empty sets and link with nothing;
 documents with fewer words than a shingle have one shingle, their whole sequence.  Shingles are
 compared by 64-bit hashes.  Rows that repeat a doc_id are one document, which has the links of all
 its rows and the size of the largest set.  Each row without a doc_id is a document of its own,
@@ -56,8 +56,8 @@ EXTRA = 8
 PART, WEIGHT = 256, 500_000
 #: Pivots of a region with more, on average.
 PIVOTS = 4
-#: Sets that a task remembers, to leave out copies.
-SEEN = 50_000
+#: Sets whose copies are left out early, by a broadcast (3 MB), and sets that a task remembers.
+COPIES, SEEN = 131_072, 50_000
 
 
 def shared_least(n):
@@ -86,8 +86,17 @@ def _sets(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]:
     return out
 
 
-def hot_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(shingle, n): the shingles that most documents share, at most HOT_SHINGLES; counted over all."""
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set."""
+    if not len(s):
+        return 0, 0
+    m = W.mix(s)
+    return int(m.sum().view(np.int64)), int(W.mix(m + np.uint64(1)).sum().view(np.int64))
+
+
+def survey(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n, h1, h2, shingle, docs): set size and hash of every document; and, with null doc_id, counts of shared shingles."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "h1", "h2", "shingle", "docs")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -96,47 +105,52 @@ def hot_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         def count() -> pa.RecordBatch:
             s, n = np.unique(np.concatenate(held), return_counts=True)
             hot = n >= HOT_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(s[hot].view(np.int64)), pa.array(n[hot].astype(np.int64))], ["shingle", "n"])
+            none = pa.nulls(int(hot.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(s[hot].view(np.int64)), pa.array(n[hot].astype(np.int64))], schema=schema)
 
         for b in batches:
+            rows: list[tuple[int, int, int]] = []
             for _, _, data, offs in W.slices(b.column(1)):
                 new = _sets(data, offs, width)
+                rows += [(len(s), *_set_hash(s)) for s in new]
                 held += new
                 weight += sum(map(len, new))
                 if weight >= HOT_WEIGHT:
                     yield count()
                     held.clear()
                     weight = 0
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], none, none], schema=schema)
         if held:
             yield count()
 
-    found = docs.mapInArrow(each, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return found.orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES)
+    return docs.mapInArrow(each, ", ".join(f"{x.name} bigint" for x in schema))
 
 
-def signatures(docs: DataFrame, hot: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def signatures(docs: DataFrame, hot: np.ndarray, copied: dict[tuple[int, int], int], width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, h1, h2, cold, warm): set size, a 128-bit hash of the set, and its necessary shingles.
 
     The necessary shingles are the prefix in the global order; warm are those of them in hot (the
     most frequent last), cold the others.  Both are null for a set that an earlier row of the same
-    task has.
+    task has, and where copied has the set with another document.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(hot), np.argsort(hot, kind="stable").astype(np.uint64)))
+    shared = docs.sparkSession.sparkContext.broadcast((np.sort(hot), np.argsort(hot, kind="stable").astype(np.uint64), copied))
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("cold", pa.list_(pa.int64())), ("warm", pa.list_(pa.int64()))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        known, rank, copied = shared.value
         seen: set[tuple[int, int]] = set()
         for b in batches:
             n, h1, h2, cold, warm = [], [], [], [], []
+            ids = b.column(0).to_pylist()
             for _, _, data, offs in W.slices(b.column(1)):
                 for s in _sets(data, offs, width):
-                    m = W.mix(s)
-                    key = (int(m.sum().view(np.int64)) if len(s) else 0, int(W.mix(m + np.uint64(1)).sum().view(np.int64)) if len(s) else 0)
+                    key = _set_hash(s)
+                    own = ids[len(n)]
                     n.append(len(s))
                     h1.append(key[0])
                     h2.append(key[1])
-                    if not len(s) or key in seen:
+                    if not len(s) or key in seen or copied.get(key, own) != own:
                         cold.append(None)
                         warm.append(None)
                         continue
@@ -320,7 +334,7 @@ def _chains(rows: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, info: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) whose components are those of all links between the sets with prefixes in info."""
-    sig = info.filter("cold IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), F.size("cold").alias("rare"), F.posexplode(F.concat("cold", "warm")).alias("at", "sig"))
+    sig = info.select("doc_id", F.col("n").cast("int").alias("n"), F.size("cold").alias("rare"), F.posexplode(F.concat("cold", "warm")).alias("at", "sig"))
     sig = sig.select("doc_id", "n", "sig", (F.col("at") >= F.col("rare")).alias("hot"))
     # a set that links shares so many shingles with one other set, so at least so many with any
     least = 1 + F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100)
@@ -371,15 +385,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _near_duplicates(docs: DataFrame, doc_id: str, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """near_duplicates() of documents that all have an id."""
     texts = W.as_bytes(docs, doc_id, text)
-    hot = np.array([r["shingle"] for r in hot_shingles(texts, width).collect()][::-1], np.int64).view(np.uint64)
-    info = W.cut(signatures(texts, hot, width, percent))
-    small = info.select("doc_id", "n", "h1", "h2")
+    first = W.cut(survey(texts, width))
+    top = first.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "shingle").limit(HOT_SHINGLES).collect()
+    hot = np.array([r["shingle"] for r in top][::-1], np.int64).view(np.uint64)
+    small = first.filter("shingle IS NULL").select("doc_id", "n", "h1", "h2")
     # sets of several documents, as a plain table: Spark can split a join with the documents of a large one
-    sets = W.cut(small.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")).filter("docs > 1").drop("docs"))
+    sets = W.cut(small.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")).filter("docs > 1"))
+    copied = {(r["h1"], r["h2"]): r["rep"] for r in sets.orderBy(F.desc("docs"), "rep").limit(COPIES).collect()}
+    sets = sets.drop("docs")
+    info = W.cut(signatures(texts, hot, copied, width, percent).filter("cold IS NOT NULL"))
     found = links(texts, info, width, percent)
     copies = small.filter("n > 0").join(sets, ["n", "h1", "h2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    of_rep = info.filter("cold IS NOT NULL").select("doc_id", "n", "h1", "h2").join(sets, ["n", "h1", "h2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    whole = W.cut(components(found.unionByName(of_rep)))
+    of_rep = info.select("doc_id", "n", "h1", "h2").join(sets, ["n", "h1", "h2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    several = W.cut(copies.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("doc_id"))
+    of_rows = copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    whole = W.cut(components(found.unionByName(of_rep).unionByName(of_rows)))
     rep = copies.join(whole.select(F.col("doc_id").alias("rep"), "component_id"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
     one = small.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     of = rep.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -134,6 +134,17 @@ def test_jaccard(spark, docs, monkeypatch, part, weight, hot):
     assert got == {k: (len(s), label[k]) for k, s in enumerate(sets)}
 
 
+def test_jaccard_of_repeated_ids(spark, monkeypatch):
+    """Rows of one doc_id are one document with the links of all its rows."""
+    other = BASE.replace("w", "v")
+    rows = [(3, BASE), (5, BASE), (5, other), (8, other + " v"), (9, "alone"), (9, "alone"), (10, BASE.replace("w", "u"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(3, 116, 3), (5, 116, 3), (8, 117, 3), (9, 1, 9), (10, 116, 10)}
+    for copies in (jaccard.COPIES, 0):
+        monkeypatch.setattr(jaccard, "COPIES", copies)
+        assert {tuple(r) for r in jaccard.near_duplicates(df).collect()} == want
+
+
 def test_output(spark, docs, tmp_path):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tok.encode_special_tokens = True
@@ -224,6 +235,8 @@ def test_models_on_odd_rows(spark, docs):
     labels = spark.createDataFrame([(k, k % 2, int(k == 3)) for k in range(len(TEXTS))], "doc_id long, quality int, toxic int")
     langs, logp = langid.fit(langid.trigram_counts(W.as_bytes(docs.filter("lang IS NOT NULL"), "doc_id", "text", "lang")))
     found = {r.doc_id: r for r in langid.identify(W.as_bytes(docs), langs, logp).collect()}
+    digits = spark.createDataFrame([(1, "² ① 12"), (2, "Ⅷ 3"), (3, "x"), (4, "² é")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in sorted(langid.identify(W.as_bytes(digits), langs, logp).collect())] == [True, True, False, False]
     assert found[0].lang_pred == "und" and found[2].score == 0 and found[5].lang_pred == "en"
     vectors, network = quality.fit(docs, quality.labelled(labels, "quality", 5, 0, 100))
     assert all(0 <= r.score <= 1 for r in quality.score(W.as_bytes(docs), vectors, network).collect())
