@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .impact import first_n
@@ -28,12 +28,17 @@ def hint_table(hints: DataFrame, column: str) -> DataFrame:
 
 
 def _containing(hints: DataFrame, table: DataFrame, text: str) -> DataFrame:
-    """Rows whose text contains a hint, as an equi-join: hints by their first three letters, texts by all of theirs.
+    """Rows whose text contains a hint, as an equi-join by the hint's three letters that fewest texts hold.
 
     Hints shorter than three letters can't occur: words have three, files four at least.
     """
-    keyed = hints.withColumn("gram", F.substring("hint", 1, 3))
-    grams = table.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(F.col(text), i, F.lit(3))))))
+
+    def of(df: DataFrame, column: str) -> DataFrame:
+        return df.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(column) - 2)), lambda i: F.substring(F.col(column), i, F.lit(3))))))
+
+    grams = of(table, text)
+    rows = grams.groupBy("gram").agg(F.count("*").alias("rows"))
+    keyed = of(hints, "hint").join(rows, "gram", "left").groupBy("hint").agg(F.min_by("gram", F.struct(F.coalesce("rows", F.lit(0)), "gram")).alias("gram"))
     return grams.join(keyed, "gram").filter(F.col(text).contains(F.col("hint"))).drop("gram")
 
 
@@ -63,12 +68,14 @@ def file_context(hints: DataFrame, files: DataFrame, symbols: DataFrame, imports
 
 
 def seed_context(radius: DataFrame, coverage: DataFrame, hints: DataFrame) -> DataFrame:
-    """(symbol_hint, lines): coverage and blast radius of a question's own symbol."""
-    tests = coverage.groupBy(F.col("seed").alias("symbol_hint")).agg(F.lit(True).alias("tested"))
+    """(symbol_hint, lines): test files and blast radius of a question's own symbol, over all repositories."""
+    quote = F.when(F.contains("test_file", F.lit("'")) & ~F.contains("test_file", F.lit('"')), '"').otherwise("'")
+    rows = F.array_sort(F.collect_list(F.struct("test_file", "test_name", F.concat(quote, "test_file", quote).alias("t"))))
+    tests = coverage.groupBy(F.col("seed").alias("symbol_hint")).agg(F.array_join(F.transform(rows, lambda x: x["t"]), ", ").alias("tests"))
     line = F.concat(F.lit("  - "), F.col("name"), F.lit(" ("), F.col("kind"), F.lit(") in "), F.col("file"), F.lit(" [depth "), F.col("depth").cast("string"), F.lit("]"))
-    down = radius.groupBy(F.col("seed").alias("symbol_hint")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "name", "file", "kind", "repo_id", line.alias("t")))), lambda x: x["t"]), "\n").alias("down"))
+    down = radius.groupBy(F.col("seed").alias("symbol_hint")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "name", "file", "kind", line.alias("t")))), lambda x: x["t"]), "\n").alias("down"))
     out = hints.select("symbol_hint").distinct().join(tests, "symbol_hint", "left").join(down, "symbol_hint", "left")
-    has = F.when(F.coalesce("tested", F.lit(False)), "True").otherwise("False")
+    has = F.concat(F.lit("["), F.coalesce("tests", F.lit("")), F.lit("]"))
     return out.select("symbol_hint", F.concat(F.lit("Symbol: "), F.col("symbol_hint"), F.lit("\nHas test coverage: "), has, F.lit("\n"), F.coalesce(F.concat(F.lit("Downstream symbols:\n"), F.col("down")), F.lit("No downstream symbols found in the graph."))).alias("lines"))
 
 
@@ -85,7 +92,3 @@ def answer_context(questions: DataFrame, of_file: DataFrame, of_symbol: DataFram
     out = out.join(of_seed, "symbol_hint", "left")
     return out.select("question_id", F.coalesce("lines", "text", none).alias("context"))
 
-
-def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The newest row of each key."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")

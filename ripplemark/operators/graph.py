@@ -39,6 +39,11 @@ def contains_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbols.select("repo_id", F.col("file_path").alias("path"), "qualified_name").join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi").distinct()
 
 
+def repo_contains(repos: DataFrame, files: DataFrame) -> DataFrame:
+    """Repository to file, where both are there."""
+    return files.select("repo_id", "path").join(repos.select(F.col("id").alias("repo_id")), "repo_id", "left_semi").distinct()
+
+
 def calls_edges(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     """Caller to callee (repo_id, src, dst), where both are there; a set."""
     known = symbols.select("repo_id", "qualified_name").distinct()

@@ -34,25 +34,40 @@ def who_calls(symbols: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFra
     return target.join(edges, ["repo_id", "dst"]).join(callers, ["repo_id", "src"]).select("repo_id", "seed", "caller", "file_path", "is_test").distinct()
 
 
-def blast_radius(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 200) -> DataFrame:
+def in_all_repos(seeds: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo_id, seed): the seeds, in each repository that has a symbol whose qualified name ends with them."""
+    one = F.lit(0).alias("repo_id")
+    return match_seeds(seeds.select(one, "seed"), symbols.select(one, "qualified_name", F.col("repo_id").alias("home"))).select(F.col("home").alias("repo_id"), "seed").distinct()
+
+
+def blast_radius(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 200, scope: str = "repo") -> DataFrame:
     """(repo_id, seed, name, file, kind, depth): live callers within max_depth hops of the live symbols that a
     seed names, at their least depth, the first `limit` of each seed by depth and name.
 
-    Frontier joins: at most max_depth rounds; nodes met once aren't followed again.  Deleted
-    symbols are followed, not reported.
+    scope: "repo", or "all": seeds (seed) name symbols of any repository, and the rows of a seed
+    have no repo_id.  Frontier joins: at most max_depth rounds; nodes met once aren't followed
+    again, nor are seeds that have `limit` rows, as rows are ordered by depth.  Deleted symbols are
+    followed, not reported.
     """
+    if scope == "all":
+        rows = blast_radius(in_all_repos(seeds, symbols), symbols, edges, max_depth, limit)
+        return first_n(rows.groupBy("seed", "name", "file", "kind").agg(F.min("depth").alias("depth")), ["seed"], ["depth", "name", "file", "kind"], limit)
     max_depth = min(10, max(1, max_depth))
     backward = edges.select("repo_id", F.col("dst").alias("node"), "src").distinct()
     frontier = match_seeds(seeds, live(symbols)).select("repo_id", "seed", F.col("qualified_name").alias("node")).distinct()
+    info = live(symbols).select("repo_id", F.col("qualified_name").alias("node"), "name", F.col("file_path").alias("file"), F.col("type").alias("kind"))
     met: DataFrame | None = None
     for depth in range(1, max_depth + 1):
+        if depth > 1:  # with `limit` callers at least one step before, there may be as many rows
+            many = met.groupBy("repo_id", "seed").agg(F.count("*").alias("n")).filter(F.col("n") >= limit).select("repo_id", "seed")
+            full = met.join(many, ["repo_id", "seed"]).join(info, ["repo_id", "node"]).groupBy("repo_id", "seed").agg(F.count_distinct("name", "file", "kind").alias("n")).filter(F.col("n") >= limit)
+            frontier = frontier.join(full, ["repo_id", "seed"], "left_anti")
         step = frontier.join(backward, ["repo_id", "node"]).select("repo_id", "seed", F.col("src").alias("node")).distinct()
         if met is not None:
             step = step.join(met, ["repo_id", "seed", "node"], "left_anti")
         frontier = cut(step)
         found = frontier.withColumn("depth", F.lit(depth))
         met = found if met is None else met.unionByName(found)
-    info = live(symbols).select("repo_id", F.col("qualified_name").alias("node"), "name", F.col("file_path").alias("file"), F.col("type").alias("kind"))
     rows = met.join(info, ["repo_id", "node"]).groupBy("repo_id", "seed", "name", "file", "kind").agg(F.min("depth").alias("depth"))
     return first_n(rows, ["repo_id", "seed"], ["depth", "name", "file", "kind"], limit)
 
@@ -85,8 +100,11 @@ def impact_paths(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_dep
     return first_n(rows, ["repo_id", "seed"], ["depth", "path"], limit)
 
 
-def test_coverage(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
-    """(repo_id, seed, test_file, test_name): direct test callers of the live symbols that a seed names."""
+def test_coverage(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 20, scope: str = "repo") -> DataFrame:
+    """(repo_id, seed, test_file, test_name): direct test callers of the live symbols that a seed names; scope as in blast_radius."""
+    if scope == "all":
+        rows = test_coverage(in_all_repos(seeds, symbols), symbols, edges, limit).select("seed", "test_file", "test_name").distinct()
+        return first_n(rows, ["seed"], ["test_file", "test_name"], limit)
     start = match_seeds(seeds, live(symbols)).select("repo_id", "seed", F.col("qualified_name").alias("dst")).distinct()
     tests = symbols.filter("is_test").select("repo_id", F.col("qualified_name").alias("src"), F.col("file_path").alias("test_file"), F.col("name").alias("test_name"))
     rows = start.join(edges, ["repo_id", "dst"]).join(tests, ["repo_id", "src"]).select("repo_id", "seed", "test_file", "test_name").distinct()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -52,11 +54,16 @@ def ignore_regex(pattern: str) -> tuple[str, bool] | None:
 def apply_ignore_patterns(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that the ignore rules (repo_id, ordinal, pattern) of their repository keep; the last match wins.
 
-    A repository's rules are few; they come to the driver to be made regexes, and go back as a table.
+    Each distinct pattern is made a regex once, in the executors.
     """
-    spark = files.sparkSession
-    made = [(r["repo_id"], r["ordinal"], *x) for r in rules.collect() if (x := ignore_regex(r["pattern"]))]
-    table = spark.createDataFrame(made, "repo_id string, ordinal int, regex string, negated boolean")
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            made = [(p, *x) for p in df["pattern"] if (x := ignore_regex(p))]
+            yield pd.DataFrame(made, columns=["pattern", "regex", "negated"])
+
+    regexes = rules.filter("pattern IS NOT NULL").select("pattern").distinct().mapInPandas(each, "pattern string, regex string, negated boolean")
+    table = rules.select("repo_id", "ordinal", "pattern").join(regexes, "pattern")
     hits = files.select("repo_id", "path").distinct().join(table, "repo_id").filter(F.expr("path RLIKE regex"))
     gone = hits.groupBy("repo_id", "path").agg(F.max_by("negated", "ordinal").alias("back")).filter("NOT back")
     return files.join(gone.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
@@ -75,11 +82,6 @@ def scan_filter(files: DataFrame, rules: DataFrame | None = None, max_kb: int =
     return drop_oversized(out.withColumn("language", P.detect_language(F.col("path"))).filter("language IS NOT NULL"), max_kb)
 
 
-def path_order() -> Column:
-    """Order of paths by their components."""
-    return F.split("path", "/")
-
-
 def changed_files(current: DataFrame, snapshots: DataFrame, full: bool = False) -> DataFrame:
     """Files (repo_id, path, hash) that are new or differ from their snapshot; all if full."""
     if full:

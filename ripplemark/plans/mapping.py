@@ -33,10 +33,10 @@ MODEL = {
  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN symbols AS s ON l_partkey = s.part_key""",
     "changed": """SELECT s.repo_id, sha1(CAST(l_orderkey AS STRING)) AS commit_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS BIGINT) AS ordinal, s.file_path AS file, s.name AS symbol,
  s.type AS kind, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'deleted' ELSE 'modified' END AS change_type, s.start_line, s.end_line
- FROM lineitem JOIN symbols AS s ON l_partkey = s.part_key WHERE l_orderkey % 50 = 0""",
+ FROM lineitem JOIN symbols AS s ON l_partkey = s.part_key""",
     "imports": """SELECT DISTINCT s.repo_id, s.file_path AS path,
  CASE t.part_key % 6 WHEN 0 THEN 'os.path' WHEN 1 THEN '.' || t.name WHEN 2 THEN 'json' ELSE t.parent || '.' || t.name END AS module
- FROM pairs JOIN symbols AS s ON pairs.a = s.part_key JOIN symbols AS t ON pairs.b = t.part_key WHERE pairs.b % 9 = 0""",
+ FROM pairs JOIN symbols AS s ON pairs.a = s.part_key JOIN symbols AS t ON pairs.b = t.part_key""",
     "sources": """SELECT source AS repo_id, (CASE WHEN doc_id % 17 = 0 THEN 'build/' ELSE '' END) || lang || '/' || CAST(doc_id AS STRING) ||
  (CASE doc_id % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.TSX' WHEN 3 THEN '.java' WHEN 4 THEN '.h' WHEN 5 THEN '.md' WHEN 6 THEN '' ELSE '.cc' END) AS path,
  text AS content, n_chars * 60 AS size, doc_id, doc_id * 1000 AS mtime_ns FROM documents""",

@@ -193,10 +193,15 @@ def j4_e3_calls_edges(spark, sf_dir):
     return graph.calls_edges(resolve.resolve_calls(resolve.attribute_calls(c, s), s), s)
 
 
-@query("SELECT DISTINCT s.repo_id, s.file_path AS path, s.qualified_name FROM symbols AS s JOIN files AS f ON s.repo_id = f.repo_id AND s.file_path = f.path WHERE f.path LIKE '%1%'")
+@query("SELECT DISTINCT s.repo_id, s.file_path AS path, s.qualified_name FROM symbols AS s JOIN files AS f ON s.repo_id = f.repo_id AND s.file_path = f.path")
 def j5_contains_edges(spark, sf_dir):
     f, s = tables(spark, sf_dir, "files", "symbols")
-    return graph.contains_edges(f.filter("path LIKE '%1%'"), s)
+    return graph.contains_edges(f, s)
+
+
+@query("SELECT DISTINCT f.repo_id, f.path FROM files AS f JOIN repos AS r ON f.repo_id = r.id")
+def j5_repo_contains(spark, sf_dir):
+    return graph.repo_contains(*tables(spark, sf_dir, "repos", "files"))
 
 
 @query("SELECT DISTINCT s.repo_id, s.qualified_name AS src, i.module AS package FROM symbols AS s JOIN imports AS i ON s.repo_id = i.repo_id AND s.file_path = i.path")
@@ -212,18 +217,27 @@ def j7_commit_edges(spark, sf_dir):
     return a.unionByName(graph.has_change(ch, c).select(F.lit("has_change").alias("edge"), "repo_id", "commit_id", "file_path"))
 
 
-@query("SELECT s.repo_id, s.qualified_name, s.deleted OR EXISTS (SELECT 1 FROM changes AS c WHERE c.type = 'deleted' AND c.repo_id = s.repo_id AND c.file_path = s.file_path AND c.commit_id < '08') AS deleted FROM symbols AS s")
+#: The last change of each file, over all commits.
+_LATEST = "latest AS (SELECT repo_id, file_path, last(type ORDER BY commit_id, type) AS type FROM changes GROUP BY ALL)"
+
+
+def _latest_changes(spark, sf_dir):
+    (c,) = tables(spark, sf_dir, "changes")
+    return c.groupBy("repo_id", "file_path").agg(F.max_by(F.struct("commit_id", "status", "type"), F.struct("commit_id", "type")).alias("x")).select("repo_id", "file_path", "x.*")
+
+
+@query(f"{_LATEST} SELECT s.repo_id, s.qualified_name, s.deleted OR EXISTS (SELECT 1 FROM latest AS c WHERE c.type = 'deleted' AND c.repo_id = s.repo_id AND c.file_path = s.file_path) AS deleted FROM symbols AS s")
 def j8_tombstone(spark, sf_dir):
-    s, c = tables(spark, sf_dir, "symbols", "changes")
-    return graph.tombstone(s, c.filter("commit_id < '08'")).select("repo_id", "qualified_name", "deleted")
+    (s,) = tables(spark, sf_dir, "symbols")
+    return graph.tombstone(s, _latest_changes(spark, sf_dir)).select("repo_id", "qualified_name", "deleted")
 
 
-_SEEDS = "SELECT DISTINCT repo_id, CASE part_key % 2 WHEN 0 THEN name ELSE substr(name, 3) END AS seed FROM symbols WHERE part_key % 40 = 1 OR part_key % 40 = 20"
+_SEEDS = "SELECT DISTINCT repo_id, CASE part_key % 2 WHEN 0 THEN name ELSE substr(name, 3) END AS seed FROM symbols"
 
 
 def _seeds(spark, sf_dir):
     (s,) = tables(spark, sf_dir, "symbols")
-    return s.filter("part_key % 40 = 1 OR part_key % 40 = 20").select("repo_id", F.expr("CASE part_key % 2 WHEN 0 THEN name ELSE substr(name, 3) END").alias("seed")).distinct()
+    return s.select("repo_id", F.expr("CASE part_key % 2 WHEN 0 THEN name ELSE substr(name, 3) END").alias("seed")).distinct()
 
 
 @query(f"seeds AS ({_SEEDS}) SELECT s.repo_id, d.seed, s.qualified_name FROM symbols AS s JOIN seeds AS d ON s.repo_id = d.repo_id AND ends_with(s.qualified_name, d.seed)")
@@ -247,9 +261,9 @@ _RADIUS = """radius AS (SELECT repo_id, seed, name, file, kind, depth FROM (SELE
  WHERE NOT s.deleted GROUP BY ALL) AS y) AS z WHERE r <= {limit})"""
 
 
-@query(f"seeds AS ({_SEEDS}), {_START}, {_REACH}, {_RADIUS.format(limit=20)} SELECT * FROM radius", recursive=True)
+@query(f"seeds AS ({_SEEDS}), {_START}, {_REACH}, {_RADIUS.format(limit=200)} SELECT * FROM radius", recursive=True)
 def j15_w7_l2_blast_radius(spark, sf_dir):
-    return impact.blast_radius(_seeds(spark, sf_dir), *tables(spark, sf_dir, "symbols", "calls"), max_depth=3, limit=20)
+    return impact.blast_radius(_seeds(spark, sf_dir), *tables(spark, sf_dir, "symbols", "calls"), max_depth=3, limit=200)
 
 
 _TRAILS = """trails AS (SELECT t.repo_id, seed, src AS node, 1 AS depth, [s.name, u.name] AS names, [src || '>' || t.node] AS used FROM start AS t JOIN calls AS c ON c.repo_id = t.repo_id AND c.dst = t.node
@@ -386,10 +400,10 @@ def a2_repo_stats(spark, sf_dir):
     return scan.repo_stats(f, symbols=f)
 
 
-@query("SELECT f.repo_id, f.path, coalesce(max(s.end_line), 0) AS lines_of_code FROM files AS f LEFT JOIN symbols AS s ON s.repo_id = f.repo_id AND s.file_path = f.path AND s.part_key % 2 = 0 GROUP BY f.repo_id, f.path")
+@query("SELECT f.repo_id, f.path, coalesce(max(s.end_line), 0) AS lines_of_code FROM files AS f LEFT JOIN symbols AS s ON s.repo_id = f.repo_id AND s.file_path = f.path GROUP BY f.repo_id, f.path")
 def a4_lines_of_code(spark, sf_dir):
     f, s = tables(spark, sf_dir, "files", "symbols")
-    return graph.lines_of_code(f, s.filter("part_key % 2 = 0"))
+    return graph.lines_of_code(f, s)
 
 
 @query(f"""{_RESOLVED} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM changes) AS changes,
@@ -429,11 +443,12 @@ def w6_u7_upsert_snapshots(spark, sf_dir):
     return upsert(old, now.filter("doc_id % 2 = 0").select("repo_id", "path", "hash"), ["repo_id", "path"], [F.col("hash")])
 
 
-@query("SELECT repo_id, file_path, last(status ORDER BY commit_id) AS status FROM changes GROUP BY repo_id, file_path")
+@query("SELECT repo_id, commit_id, file_path, CASE WHEN commit_id >= '4' THEN status ELSE 'old' END AS status FROM changes")
 def u3_upsert_changes(spark, sf_dir):
     (c,) = tables(spark, sf_dir, "changes")
-    c = c.select("repo_id", "file_path", "status", "commit_id")
-    return upsert(c.filter("false"), c, ["repo_id", "file_path"], [F.col("commit_id")]).drop("commit_id")
+    c = c.select("repo_id", "commit_id", "file_path", "status")
+    old = c.filter("commit_id < 'c'").withColumn("status", F.lit("old"))
+    return upsert(old, c.filter("commit_id >= '4'"), ["repo_id", "commit_id", "file_path"], [F.col("status")])
 
 
 @query("SELECT DISTINCT repo_id, CASE WHEN part_key % 5 = 0 THEN 'old' ELSE 'new' END AS name FROM symbols")
@@ -475,18 +490,18 @@ def j19_unregister(spark, sf_dir):
     return scan.unregister(s.select("repo_id", "path"), s.filter("doc_id % 100 = 7"))
 
 
-@query("SELECT DISTINCT f.repo_id, f.path FROM files AS f JOIN changes AS c ON f.repo_id = c.repo_id AND f.path = c.file_path WHERE c.status IN ('A', 'M') AND c.commit_id < '02'")
+@query("SELECT DISTINCT f.repo_id, f.path FROM files AS f JOIN changes AS c ON f.repo_id = c.repo_id AND f.path = c.file_path WHERE c.status IN ('A', 'M')")
 def j20_ingest_scope(spark, sf_dir):
     c, f = tables(spark, sf_dir, "changes", "files")
-    return C.ingest_scope(c.filter("commit_id < '02'"), f)
+    return C.ingest_scope(c, f)
 
 
-@query("""a AS (SELECT repo_id, file_path, min(status) AS status, min(type) AS type FROM changes WHERE commit_id < '4' GROUP BY ALL), b AS (SELECT repo_id, file_path, max(status) AS status, max(type) AS type FROM changes WHERE commit_id > 'c' GROUP BY ALL)
+@query("""a AS (SELECT repo_id, file_path, min(status) AS status, min(type) AS type FROM changes WHERE commit_id < '8' GROUP BY ALL), b AS (SELECT repo_id, file_path, max(status) AS status, max(type) AS type FROM changes WHERE commit_id >= '8' GROUP BY ALL)
  SELECT * FROM b UNION ALL SELECT * FROM a WHERE (repo_id, file_path) NOT IN (SELECT (repo_id, file_path) FROM b)""")
 def e1_merge_changes(spark, sf_dir):
     (c,) = tables(spark, sf_dir, "changes")
     key = ["repo_id", "file_path"]
-    return C.merge_changes(c.filter("commit_id < '4'").groupBy(*key).agg(F.min("status").alias("status"), F.min("type").alias("type")), c.filter("commit_id > 'c'").groupBy(*key).agg(F.max("status").alias("status"), F.max("type").alias("type")))
+    return C.merge_changes(c.filter("commit_id < '8'").groupBy(*key).agg(F.min("status").alias("status"), F.min("type").alias("type")), c.filter("commit_id >= '8'").groupBy(*key).agg(F.max("status").alias("status"), F.max("type").alias("type")))
 
 
 def _questions(spark, sf_dir):
@@ -500,10 +515,10 @@ def _questions(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in context.STOP_WORDS)
 
 
-@query(f"""SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(text, '\\b[a-zA-Z_]\\w*\\b'), lambda w: length(w) > 2 AND NOT lower(w) IN ({_STOP})), ',') AS words
- FROM conversations WHERE role = 'user' AND regexp_full_match(text, '[\\x00-\\x7F]*')""", plain=True)
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\x{{200c}}\\x{{200d}}]+'), lambda w: regexp_matches(w, '^[a-zA-Z_]') AND length(w) > 2 AND NOT lower(w) IN ({_STOP})), ',') AS words
+ FROM conversations WHERE role = 'user'""", plain=True)
 def c7_extract_hints(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user'").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user'")
     return context.extract_hints(c.withColumnRenamed("text", "question")).select("conv_id", "turn", F.array_join("words", ",").alias("words"))
 
 
@@ -513,7 +528,7 @@ def g4_c8_answer_context(spark, sf_dir):
     return jobs.answer_context_job(_questions(spark, sf_dir), s, c, f, i)
 
 
-@query("""hints AS (SELECT DISTINCT name AS hint FROM symbols WHERE part_key % 50 = 3), picked AS (SELECT hint, s.* FROM symbols AS s JOIN hints ON contains(qualified_name, hint) QUALIFY row_number() OVER (PARTITION BY hint ORDER BY qualified_name) <= 10),
+@query("""hints AS (SELECT DISTINCT name AS hint FROM symbols), picked AS (SELECT hint, s.* FROM symbols AS s JOIN hints ON contains(qualified_name, hint) QUALIFY row_number() OVER (PARTITION BY hint ORDER BY qualified_name) <= 10),
  callees AS (SELECT c.repo_id, c.src, string_agg(DISTINCT t.name, ', ' ORDER BY t.name) AS calls FROM calls AS c JOIN symbols AS t ON c.repo_id = t.repo_id AND c.dst = t.qualified_name GROUP BY ALL),
  own AS (SELECT hint, string_agg('Symbol: ' || name || ' (' || type || ') in ' || file_path || ' at line ' || start_line || coalesce(chr(10) || '  Calls: ' || calls, ''), chr(10) ORDER BY qualified_name) AS own FROM picked LEFT JOIN callees ON picked.repo_id = callees.repo_id AND qualified_name = src GROUP BY hint),
  called AS (SELECT hint, string_agg(name || ' (' || type || ') in ' || file_path, ', ' ORDER BY src, dst) AS called FROM (SELECT hint, u.name, u.type, u.file_path, c.src, c.dst FROM hints JOIN symbols AS s ON contains(s.qualified_name, hint) JOIN calls AS c ON c.repo_id = s.repo_id AND c.dst = s.qualified_name
@@ -521,7 +536,7 @@ def g4_c8_answer_context(spark, sf_dir):
  SELECT hint, own || coalesce(chr(10) || 'Called by: ' || called, '') AS lines FROM own LEFT JOIN called USING (hint)""")
 def j13_symbol_context(spark, sf_dir):
     s, c = tables(spark, sf_dir, "symbols", "calls")
-    return context.symbol_context(s.filter("part_key % 50 = 3").select(F.col("name").alias("hint")).distinct(), s, c)
+    return context.symbol_context(s.select(F.col("name").alias("hint")).distinct(), s, c)
 
 
 @query("""hints AS (SELECT DISTINCT substr(path, 1, 9) AS hint FROM files), picked AS (SELECT hint, f.* FROM files AS f JOIN hints ON contains(path, hint) QUALIFY row_number() OVER (PARTITION BY hint ORDER BY path, repo_id) <= 5),
@@ -551,11 +566,10 @@ def g1_p1_index_job(spark, sf_dir):
     return got.filter("kind = 'method'").select("repo_id", "path", "name", "kind", "parent")
 
 
-@query("SELECT DISTINCT repo_id, qualified_name FROM symbols WHERE (repo_id, file_path) NOT IN (SELECT (repo_id, file_path) FROM changes WHERE type = 'deleted' AND commit_id < '01')")
+@query(f"{_LATEST} SELECT DISTINCT repo_id, qualified_name FROM symbols WHERE (repo_id, file_path) NOT IN (SELECT (repo_id, file_path) FROM latest WHERE type = 'deleted')")
 def g2_build_graph_job(spark, sf_dir):
-    (ch,) = tables(spark, sf_dir, "changes")
     parsed = jobs.index_job(_python_files(spark, sf_dir), spark.createDataFrame([], "repo_id string, path string, hash string"))
-    got = jobs.build_graph_job(parsed, ch.filter("commit_id < '01'"))
+    got = jobs.build_graph_job(parsed, _latest_changes(spark, sf_dir))
     return graph.live(got["symbols"]).filter("type = 'method'").select("repo_id", "qualified_name")
 
 

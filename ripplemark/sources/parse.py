@@ -26,11 +26,17 @@ Parser = Callable[[bytes, str], tuple[list, list, list]]
 
 class _Visitor(ast.NodeVisitor):
     def __init__(self, text: str):
-        self.text, self.scopes = text, []
+        self.lines, self.scopes = text.encode().splitlines(keepends=True), []
         self.symbols: list[tuple] = []
         self.imports: list[tuple] = []
         self.calls: list[tuple] = []
 
+    def _text(self, node: ast.AST) -> str:
+        a, b = node.lineno - 1, node.end_lineno - 1
+        if a == b:
+            return self.lines[a][node.col_offset : node.end_col_offset].decode()
+        return b"".join([self.lines[a][node.col_offset :], *self.lines[a + 1 : b], self.lines[b][: node.end_col_offset]]).decode()
+
     def _define(self, node: ast.AST, kind: str, parent: str | None) -> None:
         self.symbols.append((len(self.symbols), node.name, kind, node.lineno, node.end_lineno, parent))
 
@@ -69,9 +75,9 @@ class _Visitor(ast.NodeVisitor):
         if isinstance(f, ast.Name):
             callee = f.id
         elif isinstance(f, ast.Attribute):
-            callee = f.attr if isinstance(f.value, ast.Name) and f.value.id == "self" else f"{ast.get_source_segment(self.text, f.value)}.{f.attr}"
+            callee = f.attr if isinstance(f.value, ast.Name) and f.value.id == "self" else f"{self._text(f.value)}.{f.attr}"
         else:
-            callee = ast.get_source_segment(self.text, f)
+            callee = self._text(f)
         if callee:
             self.calls.append((len(self.calls), self.scopes[-1][0] if self.scopes else "<module>", callee, node.lineno))
         self.generic_visit(node)

@@ -6,48 +6,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.scan import changed_files
-from ..operators.upsert import upsert
-
 SNAPSHOT = "repo_id string, path string, hash string, version bigint"
 KEYS = ["repo_id", "path"]
+#: Every so many batches the whole snapshot is written, in between only what changed.
+WHOLE_EVERY = 50
+
 
+def read_snapshot(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """The snapshot below a path: of each file the greatest version, after all batches or those below a number.
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot below a path; empty before the first batch."""
-    try:
-        return spark.read.schema(SNAPSHOT).parquet(f"{path}/{_newest(spark, path)}")
-    except FileNotFoundError:
+    The last whole snapshot and the changes after it; empty before the first batch.
+    """
+    done = [(n, name) for n, name in _finished(spark, path) if below is None or n < below]
+    first = max((n for n, name in done if name.startswith("whole")), default=-1)
+    use = [f"{path}/{name}" for n, name in done if n >= first]
+    if not use:
         return spark.createDataFrame([], SNAPSHOT)
+    return _latest(spark.read.schema(SNAPSHOT).parquet(*use))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The row of greatest version of each file."""
+    return rows.groupBy(*KEYS).agg(F.max(F.struct("version", "hash")).alias("x")).select(*KEYS, "x.hash", "x.version")
 
 
-def _newest(spark: SparkSession, path: str) -> str:
-    """The highest finished batch folder, by Spark's own file system, as the path may be in any store."""
+def _finished(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Numbers and names of finished batch folders, by Spark's own file system, as the path may be in any store."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    done = [n for n in names if n.startswith("batch-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    if not done:
-        raise FileNotFoundError(path)
-    return max(done)
+    return sorted((int(n.rpartition("-")[2]), n) for n in names if n.startswith(("whole-", "part-")) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
-def apply_batch(batch: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """The snapshot after a batch of file versions: changed files replace theirs, the latest version first."""
-    return upsert(snapshot, changed_files(batch, snapshot).select("repo_id", "path", "hash", "version"), KEYS, [F.col("version"), F.col("hash")])
+def changed_versions(batch: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Of each file in a batch its greatest version, if it is new or newer than the snapshot's and differs from it."""
+    old = snapshot.select(*KEYS, F.col("hash").alias("_hash"), F.col("version").alias("_version"))
+    out = _latest(batch).join(old, KEYS, "left")
+    return out.filter("_version IS NULL OR (version >= _version AND hash <> _hash)").drop("_hash", "_version")
 
 
 def stream_index(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Starts the stream (repo_id, path, hash, version); each batch writes a new snapshot folder.
+    """Starts the stream (repo_id, path, hash, version); each batch writes the files that it changes.
 
-    A batch that is run again reads the same earlier snapshot and writes the same folder, so
-    nothing counts twice.
+    A batch that is run again, also after it had been written, reads the batches before it and
+    writes the same folder, so nothing counts twice.  An older version that comes late changes nothing.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        old = read_snapshot(df.sparkSession, path)
-        apply_batch(df, old).write.mode("overwrite").parquet(f"{path}/batch-{n:012d}")
+        old = read_snapshot(df.sparkSession, path, n)
+        new = changed_versions(df, old)
+        whole = n % WHOLE_EVERY == WHOLE_EVERY - 1
+        out = _latest(old.unionByName(new)) if whole else new
+        out.write.mode("overwrite").parquet(f"{path}/{'whole' if whole else 'part'}-{n:012d}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
