@@ -9,7 +9,8 @@ table (at most kinds x 27 x shapes rows) estimates each labeler's reliability, a
 train a logistic span classifier, which is applied as a column expression.
 
 Null or empty texts have no spans.  Spans are in code points, end exclusive.  Repeated documents
-each get their spans; further columns are kept, but for the names that the operator writes.
+each get their spans; further columns are kept, whatever their names, but for the one that the
+result is asked to have.
 """
 
 from __future__ import annotations
@@ -53,48 +54,75 @@ STRICT = {
     "tel": "^\\([0-9]{3}\\) [0-9]{3}-[0-9]{4}$",
 }
 BEFORE, AFTER = 24, 2
+_FAR = (1 << 31) - 1
 
 
-def _starts(pieces: Column, found: Column) -> Column:
-    """Code-point starts of the matches, from what lies between them; about n^1.5 steps."""
-    n = F.size(found)
+_SPAN = "array<struct<kind:string,start:int,end:int,match:string,before:string,after:string>>"
+
+
+def _running(a: Column, op, zero: int) -> Column:
+    """Running results of an associative op over an array of ints: n steps, in blocks, as arrays grow by copying."""
+    none = F.array().cast("array<int>")
+    n = F.size(a)
     block = F.greatest(F.lit(1), F.floor(F.sqrt(n)).cast("int"))
-    both = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    def within(b: Column) -> Column:
+        return F.aggregate(F.slice(a, b * block + 1, block), F.struct(F.lit(zero).alias("at"), none.alias("out")), lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(op(s["at"], x))).alias("out")))["out"]
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), within)
+    # each block with what comes before it
+    both = F.aggregate(runs, F.struct(F.lit(zero).alias("at"), F.array().cast("array<array<int>>").alias("out")), lambda s, r: F.struct(op(s["at"], F.element_at(r, -1)).alias("at"), F.concat(s["out"], F.array(F.transform(r, lambda x: op(s["at"], x)))).alias("out")))
+    return F.when(n > 0, F.flatten(both["out"])).otherwise(none)
+
+
+def _free(docs: DataFrame) -> str:
+    """A beginning of names that no column has."""
+    start = "_own"
+    while any(c.lower().startswith(start) for c in docs.columns):
+        start += "_"
+    return start
 
-    sums = F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), lambda b: total(F.slice(both, b * block + 1, block)))
-    return F.struct(both.alias("both"), block.alias("block"), F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), lambda b: total(F.slice(sums, F.lit(1), b))).alias("sums"))
 
+def candidates(docs: DataFrame, text: str = "text", name: str = "candidates") -> DataFrame:
+    """The documents with an array of (kind, start, end, match, before, after) of all kinds, that pass their base kind's checks.
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with `_c`, an array of (kind, start, end, match, before, after) of all kinds."""
-    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    digits = F.col("_t").rlike("[0-9]")
-    out = out.withColumn("_d", digits)
+    By kind and start.  Candidates of the further kinds that overlap a base span are left out.
+    """
+    own = _free(docs)
+    t = F.col(f"{own}_t")
+    out = docs.withColumn(f"{own}_t", F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn(f"{own}_d", t.rlike("[0-9]"))
     empty = F.array().cast("array<string>")
     for k in KINDS:
-        p = F.lit(PATTERNS[k])
-        may = F.col("_t").contains(_SIGN[k]) if k in _SIGN else F.lit(True) if k == "secret" else F.col("_d")
-        out = out.withColumn(f"_m_{k}", F.when(may, F.regexp_extract_all("_t", p, F.lit(0))).otherwise(empty))
+        may = t.contains(_SIGN[k]) if k in _SIGN else F.lit(True) if k == "secret" else F.col(f"{own}_d")
+        out = out.withColumn(f"{own}_m_{k}", F.when(may, F.regexp_extract_all(t, F.lit(PATTERNS[k]), F.lit(0))).otherwise(empty))
     for k in KINDS:
-        out = out.withColumn(f"_p_{k}", F.when(F.size(f"_m_{k}") > 0, F.split("_t", PATTERNS[k], -1)))
+        out = out.withColumn(f"{own}_p_{k}", F.when(F.size(f"{own}_m_{k}") > 0, F.split(t, PATTERNS[k], -1)))
     for k in KINDS:
-        out = out.withColumn(f"_s_{k}", F.when(F.size(f"_m_{k}") > 0, _starts(F.col(f"_p_{k}"), F.col(f"_m_{k}"))))
+        both = F.zip_with(F.slice(f"{own}_p_{k}", F.lit(1), F.size(f"{own}_m_{k}")), f"{own}_m_{k}", lambda p, m: F.length(p) + F.length(m))
+        out = out.withColumn(f"{own}_e_{k}", F.when(F.size(f"{own}_m_{k}") > 0, _running(both, lambda x, y: x + y, 0)))
 
     def spans(k: str) -> Column:
-        pieces, s = F.col(f"_p_{k}"), F.col(f"_s_{k}")
-
-        def one(m: Column, i: Column) -> Column:
-            b = F.floor(i / s["block"]).cast("int")
-            start = F.get(s["sums"], b) + F.aggregate(F.slice(s["both"], b * s["block"] + 1, i - b * s["block"]), F.lit(0), lambda x, y: x + y) + F.length(F.get(pieces, i))
-            return F.struct(F.lit(k).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), F.lower(F.right(F.get(pieces, i), F.lit(BEFORE))).alias("before"), F.left(F.get(pieces, i + 1), F.lit(AFTER)).alias("after"))
-
-        return F.transform(F.col(f"_m_{k}"), one)
-
-    out = out.withColumn("_c", F.concat(*[F.when(F.size(f"_m_{k}") > 0, spans(k)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,match:string,before:string,after:string>>")) for k in KINDS]))
-    return out.drop("_t", "_d", *[f"_{x}_{k}" for x in "mps" for k in KINDS])
+        m, pieces = F.col(f"{own}_m_{k}"), F.col(f"{own}_p_{k}")
+        each = F.arrays_zip(m.alias("m"), F.col(f"{own}_e_{k}").alias("e"), F.slice(pieces, F.lit(1), F.size(m)).alias("p"), F.slice(pieces, F.lit(2), F.size(m)).alias("q"))
+        made = F.transform(each, lambda z: F.struct(F.lit(k).alias("kind"), (z["e"] - F.length(z["m"])).alias("start"), z["e"].alias("end"), z["m"].alias("match"), F.lower(F.right(z["p"], F.lit(BEFORE))).alias("before"), F.left(z["q"], F.lit(AFTER)).alias("after")))
+        return F.filter(made, valid) if k in BASE else made
+
+    none = F.array().cast(_SPAN)
+    out = out.withColumn(f"{own}_c", F.concat(*[F.when(F.size(f"{own}_m_{k}") > 0, spans(k)).otherwise(none) for k in KINDS]))
+    # in order of starts: the furthest end of a base span so far, and the next start of one from here on
+    mixed = F.exists(f"{own}_c", lambda c: c["kind"].isin(BASE)) & F.exists(f"{own}_c", lambda c: ~c["kind"].isin(BASE))
+    key = F.transform(f"{own}_c", lambda c: F.struct(c["start"].alias("start"), (~c["kind"].isin(BASE)).alias("further"), c.alias("c")))
+    out = out.withColumn(f"{own}_s", F.when(mixed, F.array_sort(key)))
+    ends = F.transform(f"{own}_s", lambda x: F.when(x["further"], 0).otherwise(x["c"]["end"]))
+    starts = F.transform(F.reverse(f"{own}_s"), lambda x: F.when(x["further"], _FAR).otherwise(x["start"]))
+    out = out.withColumn(f"{own}_x", F.when(mixed, _running(ends, F.greatest, 0))).withColumn(f"{own}_y", F.when(mixed, F.reverse(_running(starts, F.least, _FAR))))
+    zipped = F.arrays_zip(F.col(f"{own}_s").alias("s"), F.col(f"{own}_x").alias("x"), F.col(f"{own}_y").alias("y"))
+    apart = F.transform(F.filter(zipped, lambda z: ~z["s"]["further"] | ((z["x"] <= z["s"]["start"]) & (z["y"] >= z["s"]["c"]["end"]))), lambda z: z["s"]["c"])
+    out = out.withColumn(f"{own}_k", F.when(mixed, apart))
+    by_kind = F.concat(*[F.filter(f"{own}_k", _of_kind(k)) for k in KINDS])
+    kept = F.when(F.col(f"{own}_k").isNotNull(), by_kind).otherwise(F.col(f"{own}_c"))
+    return out.withColumn(name, kept).select(*[c for c in docs.columns if c != name], name)
 
 
 def valid(c: Column) -> Column:
@@ -132,9 +160,10 @@ def votes(c: Column) -> Column:
 LABELERS = ("regex", "gazetteer", "context")
 
 
-def vote_table(found: DataFrame) -> DataFrame:
-    """Counts of (kind, votes, length class) over all valid candidates."""
-    each = found.select(F.explode(F.filter("_c", valid)).alias("c")).select(F.col("c.kind").alias("kind"), votes(F.col("c")).alias("v"))
+def vote_table(found: DataFrame, name: str = "candidates") -> DataFrame:
+    """Counts of (kind, votes, length class) over all candidates."""
+    # an inner explode would have its filter, with all of the expression again, pushed down to the scan
+    each = found.select(F.explode_outer(name).alias("c")).filter("c IS NOT NULL").select(F.col("c.kind").alias("kind"), votes(F.col("c")).alias("v"))
     return each.groupBy("kind", *[F.col(f"v.{x}").alias(x) for x in (*LABELERS, "size")]).agg(F.count("*").alias("n"))
 
 
@@ -201,36 +230,41 @@ def score(c: Column, v: Column, weights: dict[str, float]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents with `spans`: (kind, start, end, match, score), by kind and start."""
-    table = [r.asDict() for r in vote_table(candidates(docs, text)).collect()]  # kinds x votes x length classes
+def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5, name: str = "spans") -> DataFrame:
+    """The documents with an array of (kind, start, end, match, score), by kind and start, under `name`."""
+    own = _free(docs)
+    found = candidates(docs, text, own)
+    table = [r.asDict() for r in vote_table(found, own).collect()]  # kinds x votes x length classes
     table.sort(key=lambda r: tuple(str(r[x]) for x in ("kind", *LABELERS, "size")))
     weights = train(table, reliabilities(table)[1])
-    found = candidates(docs, text).withColumn("_c", F.filter("_c", valid))
-    scored = F.transform("_c", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), score(c, votes(c), weights).alias("score")))
-    out = found.withColumn("_s", F.when(F.size("_c") > 0, scored).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,match:string,score:double>>"))).drop("_c")
-    keep = F.filter("_s", lambda s: s["kind"].isin(*BASE) | ((s["score"] >= least) & ~F.exists("_s", lambda o: o["kind"].isin(*BASE) & (o["start"] < s["end"]) & (s["start"] < o["end"]))))
-    return out.withColumn("spans", keep).drop("_s")
+    scored = F.transform(own, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), score(c, votes(c), weights).alias("score")))
+    kept = F.filter(scored, lambda s: s["kind"].isin(*BASE) | (s["score"] >= least))
+    spans = F.when(F.size(own) > 0, kept).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,match:string,score:double>>"))
+    return found.withColumn(name, spans).drop(own)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; n_chars follows the text."""
-    found = find_pii(docs)
-    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-    apart = F.aggregate(
+    """The documents with every span replaced by its kind in brackets; n_chars, if there is one, follows the text."""
+    own = _free(docs)
+    spans, kept, new = f"{own}_spans", f"{own}_kept", f"{own}_text"
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+    # spans that begin within an earlier one make it longer
+    merged = F.aggregate(
         by_start,
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("kept")),
-        lambda a, s: F.when(s["start"] >= a["end"], F.struct((-s["less"]).alias("end"), F.concat(a["kept"], F.array(F.struct(s["start"].alias("start"), (-s["less"]).alias("end"), s["kind"].alias("kind")))).alias("kept"))).otherwise(F.struct(F.greatest(a["end"], -s["less"]).alias("end"), a["kept"].alias("kept"))),
-    )["kept"]
-    out = found.withColumn("_k", F.when(F.size("spans") > 0, apart))
-    parts = F.transform("_k", lambda s, i: F.concat(F.substring(F.col("text"), F.coalesce(F.get("_k", i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get("_k", i - 1)["end"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    text = F.when(F.size("_k") > 0, F.concat(F.array_join(parts, ""), F.substring(F.col("text"), F.element_at("_k", -1)["end"] + 1, F.length("text")))).otherwise(F.col("text"))
-    out = out.withColumn("_text", text).withColumn("n_chars", F.when(F.size("_k") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_text")).select(*docs.columns)
+        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<from:int,start:int,kind:string>>").alias("kept")),
+        lambda a, s: F.when(s["start"] >= a["end"], F.struct((-s["less"]).alias("end"), F.concat(a["kept"], F.array(F.struct(a["end"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))).alias("kept"))).otherwise(F.struct(F.greatest(a["end"], -s["less"]).alias("end"), a["kept"].alias("kept"))),
+    )
+    out = find_pii(docs, name=spans).withColumn(kept, F.when(F.size(spans) > 0, merged))
+    parts = F.transform(F.col(kept)["kept"], lambda s: F.concat(F.substring(F.col("text"), s["from"] + 1, s["start"] - s["from"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    text = F.concat(F.array_join(parts, ""), F.substring(F.col("text"), F.col(kept)["end"] + 1, F.length("text")))
+    out = out.withColumn(new, F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(new)).select(*docs.columns)
 
 
-def _equal(kind: str):
-    return lambda x: x == kind
+def _of_kind(kind: str):
+    return lambda c: c["kind"] == kind
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,4 +275,4 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text(kinds: list[str]) -> Column:
         return F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    return found.select("doc_id", *[F.size(F.filter(F.col("spans")["kind"], _equal(k))).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(text(BASE).cast("binary"), 256).alias("base_sha256"), text(KINDS).alias("spans"))
+    return found.select("doc_id", *[F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(text(BASE).cast("binary"), 256).alias("base_sha256"), text(KINDS).alias("spans"))

@@ -203,6 +203,61 @@ def test_pii(spark, docs):
     assert masked[5] == BASE and masked[0] is None and "[PHONE]" in masked[11] and "@" not in masked[11]
 
 
+def test_pii_on_many_spans_and_clashing_names(spark):
+    """Thousands of spans of all kinds in a text, against re; columns with the operator's names; no n_chars."""
+    rng = np.random.default_rng(3)
+    parts = ["a.b@c.de", "10.2.3.4", "4111 1111 1111 1111", "+1 (555) 123-4567", "(743) 555-3824", "tok_0123456789abcdef0123456789", "été", "word", "x\ny"]
+    long = " ".join(parts[k] for k in rng.integers(0, len(parts), 6000))
+    rows = [(1, long, 1, "c"), (2, None, 2, "d"), (3, "call (743) 555-3824 or +1 (743) 555-3824", 3, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _own int, spans string").selectExpr("*", "1 AS _c", "2 AS _d", "3 AS _text", "4 AS _k")
+    got = {r.doc_id: r for r in pii.find_pii(df, name="found").collect()}
+    want = [(n, m.start(), m.end()) for n in PATTERNS for m in re.finditer(PATTERNS[n], long) if valid(n, m.group(0))]
+    assert [(s.kind, s.start, s.end) for s in got[1].found if s.kind in pii.BASE] == want and len(want) > 2000
+    ends = [(s.start, s.end) for s in got[1].found if s.kind in pii.BASE]
+    assert not any(a < s.end and s.start < b for s in got[1].found if s.kind not in pii.BASE for a, b in ends)
+    assert all(long[s.start : s.end] == s.match for s in got[1].found)
+    assert [(s.start, s.end) for s in got[3].found if s.kind == "phone"] == [(23, 40)] and not any(s.kind == "tel" and s.start > 20 for s in got[3].found)
+    masked = {r.doc_id: r for r in pii.mask_pii(spark, df, "").collect()}
+    assert (masked[2].text, masked[1]["_own"], masked[1].spans, masked[1]["_c"], masked[1]["_k"]) == (None, 1, "c", 1, 4)
+    assert not re.search(PATTERNS["email"], masked[1].text) and masked[1].text.count("[EMAIL]") == long.count("@")
+
+
+def test_reliabilities_and_classifier():
+    """Expectation-maximisation on planted votes finds the labelers' reliabilities; the classifier follows the posteriors."""
+    rng = np.random.default_rng(8)
+    right, rows = {"regex": 0.9, "gazetteer": 0.8, "context": 0.7}, Counter()
+    for _ in range(40_000):
+        y = rng.random() < 0.4
+        rows[("secret", *[(1 if y else -1) * (1 if rng.random() < p else -1) for p in right.values()], 3, y)] += 1
+    table = Counter()
+    for (*key, _), n in rows.items():
+        table[tuple(key)] += n
+    table = [dict(zip(("kind", *pii.LABELERS, "size", "n"), (*k, n), strict=True)) for k, n in sorted(table.items())]
+    given, post = pii.reliabilities(table, rounds=300)
+    for x, p in right.items():
+        assert abs(given[x, 1][1] - p) < 0.05 and abs(given[x, 0][-1] - p) < 0.05
+    truth = {k: rows[(*k, True)] / (rows[(*k, True)] + rows[(*k, False)]) for k in {r[:-1] for r in rows}}
+    weights = pii.train(table, post, steps=2000)
+    for r, p in zip(table, post, strict=True):
+        key = (r["kind"], *[r[x] for x in pii.LABELERS], r["size"])
+        z = sum(weights[k] for k in ("bias", "kind secret", "size 3", *[f"{x} {r[x]}" for x in pii.LABELERS]))
+        assert abs(truth[key] - p) < 0.1 and abs(1 / (1 + np.exp(-z)) - p) < 0.1
+
+
+def test_pii_recall_of_planted_spans(spark):
+    """Of every kind nine in ten planted spans are found, also those that the votes decide on."""
+    rng = np.random.default_rng(5)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    digits = lambda n: "".join(str(x) for x in rng.integers(2, 10, n))
+    make = {"secret": lambda: f'api_key = "sk_{hexes(32)}"', "tel": lambda: f"call ({digits(3)}) {digits(3)}-{digits(4)} today", "email": lambda: f"mail {hexes(6)}@{hexes(5)}.org", "phone": lambda: f"tel +{digits(2)} {digits(3)} {digits(6)}", "ip": lambda: "host 10.1.2.3", "plain": lambda: "nothing in these words, version-1.2 and name_of_a_variable here"}
+    kinds = [k for k in make for _ in range(60)]
+    df = spark.createDataFrame([(n, f"some words before {make[k]()} and after it") for n, k in enumerate(kinds)], "doc_id long, text string")
+    got = {r.doc_id: {s.kind for s in r.spans} for r in pii.find_pii(df).collect()}
+    for k in make:
+        mine = [got[n] for n, x in enumerate(kinds) if x == k]
+        assert sum(k in x for x in mine) >= 54 if k != "plain" else sum(map(bool, mine)) <= 6, k
+
+
 @pytest.mark.parametrize("hot", [2000, 0])
 def test_substrings(docs, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
