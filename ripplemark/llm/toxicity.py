@@ -1,14 +1,16 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other by linear models over the document's set of words:
-`terms` (it holds a word that marks toxic rows), `repeated` (two such words or more), and `toxic`.
-Each model also gets the probabilities of the categories before it; in training these are
-out-of-fold predictions, so that a later model learns from probabilities as unsure as those it
-will meet.  Marking words are found from the training rows by their share of toxic rows.
-
-At most TRAIN_ROWS labelled rows (those whose ids hash lowest) train.  Null and empty texts have
-no words and get the models' base probabilities.  With labels of one class only, nothing is toxic.
-Repeated documents each get their row.
+`terms` (it is toxic and holds a word that marks toxic rows), `repeated` (toxic, with two such
+words or more), and `toxic`.  Each model also gets the probabilities of the categories before it;
+in training these are out-of-fold predictions, so that a later model learns from probabilities as
+unsure as those it will meet.  Marking words are found by their share of toxic rows, counted in
+Spark over the training rows by fold: the models of a fold use words that the other folds give.
+
+At most TRAIN_ROWS labelled rows (those whose ids hash lowest) train; of their words only the
+marking ones, at most VOCABULARY, come to the driver.  Null and empty texts have no words and get
+the models' base probabilities.  With labels of one class only, nothing is toxic.  Repeated
+documents each get their row.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ FOLDS = 4
 #: and of the training rows that hold it this share is toxic.
 LEAST_ROWS, LEAST_SHARE, LEAST_PURITY = 5, 0.015, 0.75
 LEAST_SCORE = 0.5
+#: Marking words at most, those that most toxic rows hold.
+VOCABULARY = 20_000
 
 
 def _sets(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -81,38 +85,46 @@ class _Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def marking(bad: np.ndarray, seen: np.ndarray, n_toxic: int) -> np.ndarray:
+    """Which words mark toxic rows, by the toxic rows and all rows that hold them."""
+    return (bad >= max(LEAST_ROWS, LEAST_SHARE * n_toxic)) & (bad >= LEAST_PURITY * seen)
+
+
 class Chain:
-    """The categories' models in order, over a vocabulary of word hashes."""
+    """The categories' models in order, over a vocabulary of word hashes.
 
-    def __init__(self, sets: list[np.ndarray], toxic: np.ndarray, seed: int = 5):
-        n = len(sets)
+    row, col: which training row holds which of the words (sorted hashes); toxic, fold: of each row;
+    bad, seen: toxic rows and all rows that hold a word, by fold (words x FOLDS).
+    """
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, words: np.ndarray, toxic: np.ndarray, fold: np.ndarray, bad: np.ndarray, seen: np.ndarray):
+        n = len(toxic)
         self.flat = n == 0 or toxic.min() == toxic.max()
         if self.flat:
             return
-        row = np.repeat(np.arange(n), [len(s) for s in sets])
-        words, col, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        bad = np.bincount(col, toxic[row], len(words))
-        use = (bad >= max(LEAST_ROWS, LEAST_SHARE * toxic.sum())) & (bad >= LEAST_PURITY * seen)
-        self.words = words[use]
-        place = np.cumsum(use) - 1
-        mine = use[col]
-        row, col = row[mine], place[col[mine]]
-        hits = np.bincount(row, minlength=n)
-        target = {"terms": hits >= 1, "repeated": hits >= 2, "toxic": toxic == 1}
-        fold = np.random.default_rng(seed).integers(0, FOLDS, n)
+        self.words = words
+
+        def of(without: int | None) -> tuple[np.ndarray, np.ndarray, dict]:
+            """Entries of the words that mark rows outside a fold, and the categories by these words."""
+            part = np.arange(FOLDS) != (-1 if without is None else without)
+            use = marking(bad[:, part].sum(1), seen[:, part].sum(1), int(toxic[fold != (-1 if without is None else without)].sum()))
+            mine = use[col]
+            hits = np.bincount(row[mine], minlength=n)
+            return row[mine], col[mine], {"terms": (hits >= 1) & (toxic == 1), "repeated": (hits >= 2) & (toxic == 1), "toxic": toxic == 1}
+
+        whole, inner = of(None), [of(k) for k in range(FOLDS)]
         before = np.zeros((n, 0))
         self.models = []
         for c in CATEGORIES:
-            y = target[c].astype(float)
-            self.models.append(_Linear(row, col, len(self.words), before, y))
+            self.models.append(_Linear(*whole[:2], len(words), before, whole[2][c].astype(float)))
             out = np.zeros(n)
             for k in range(FOLDS):
                 part = fold != k
-                number = np.cumsum(part) - 1
-                sub = part[row]
                 if part.any() and not part.all():
-                    m = _Linear(number[row[sub]], col[sub], len(self.words), before[part], y[part])
-                    out[~part] = m(row, col, n, before)[~part]
+                    own_row, own_col, target = inner[k]
+                    sub = part[own_row]
+                    m = _Linear((np.cumsum(part) - 1)[own_row[sub]], own_col[sub], len(words), before[part], target[c][part].astype(float))
+                    out[~part] = m(own_row, own_col, n, before)[~part]
             before = np.column_stack([before, out])
 
     def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -131,11 +143,31 @@ class Chain:
 
 def fit(docs: DataFrame, train: DataFrame) -> Chain:
     """The chain from a bounded (doc_id, y) of labelled ids."""
-    rows = word_sets(W.as_bytes(docs.join(F.broadcast(train.select("doc_id")), "doc_id", "left_semi"))).join(F.broadcast(train), "doc_id").orderBy("doc_id").toArrow()
-    lists = rows.column("words").combine_chunks()
-    lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
-    flat, offs = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-    return Chain([flat[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)], rows.column("y").to_numpy().astype(float))
+    rows = word_sets(W.as_bytes(docs.join(F.broadcast(train.select("doc_id")), "doc_id", "left_semi"))).join(F.broadcast(train), "doc_id")
+    rows = W.cut(rows.select(F.monotonically_increasing_id().alias("row"), F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "words"))
+    at = rows.select("row", "y", "fold").orderBy("row").toArrow()  # at most TRAIN_ROWS, without their words
+    y, fold = at.column("y").to_numpy().astype(np.int64), at.column("fold").to_numpy()
+    each = rows.select("row", "y", "fold", F.explode("words").alias("word"))
+    by_fold = [F.count_if((F.col("fold") == k) & (F.col("y") == v) if v else F.col("fold") == k).alias(f"{'bad' if v else 'seen'}{k}") for v in (1, 0) for k in range(FOLDS)]
+    # words that mark rows of all folds, or of all but one, have at least so many toxic rows
+    least = max(LEAST_ROWS, LEAST_SHARE * (y.sum() - max([0, *(y[fold == k].sum() for k in range(FOLDS))])))
+    bad = sum(F.col(f"bad{k}") for k in range(FOLDS))
+    vocabulary = W.cut(each.groupBy("word").agg(*by_fold).filter(bad >= float(least)).orderBy(bad.desc(), "word").limit(VOCABULARY))
+    table = vocabulary.orderBy("word").toArrow()
+    counts = [np.stack([table.column(f"{x}{k}").to_numpy() for k in range(FOLDS)], 1) for x in ("bad", "seen")]
+    parts = [np.arange(FOLDS) != k for k in range(-1, FOLDS)]
+    use = np.zeros(table.num_rows, bool)
+    for p, k in zip(parts, range(-1, FOLDS), strict=True):
+        use |= marking(counts[0][:, p].sum(1), counts[1][:, p].sum(1), int(y[fold != k].sum()))
+    words = table.column("word").to_numpy()[use]
+    named = docs.sparkSession.createDataFrame([(int(w),) for w in words], "word bigint")
+    held = each.join(F.broadcast(named), "word").select("row", "word").toArrow()
+    row = np.searchsorted(at.column("row").to_numpy(), held.column("row").to_numpy())
+    order = np.argsort(words.view(np.uint64))
+    words = words.view(np.uint64)[order]
+    col = np.searchsorted(words, held.column("word").to_numpy().view(np.uint64))
+    back = np.lexsort([col, row])
+    return Chain(row[back], col[back], words, y.astype(float), fold, *[c[use][order] for c in counts])
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
