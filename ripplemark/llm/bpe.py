@@ -86,7 +86,7 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.mapInArrow(each, "chunk bigint, payload binary")
+    return docs.mapInArrow(W.tidy(each), "chunk bigint, payload binary")
 
 
 def _texts(payload: bytes, text: str) -> tuple[pa.Table, list[str | None]]:
@@ -119,7 +119,7 @@ def distinct_words(chunks: DataFrame, buckets: int, text: str = "text") -> DataF
                 some = [k for k, x in enumerate(lists) if x]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk.as_py()] * len(some), pa.int64()), pa.array([squeeze("\0".join([f"{len(w)}:{w}" for w in lists[k]]).encode()) for k in some], pa.binary())], ["bucket", "chunk", "words"])
 
-    return chunks.mapInArrow(each, "bucket int, chunk bigint, words binary")
+    return chunks.mapInArrow(W.tidy(each), "bucket int, chunk bigint, words binary")
 
 
 def _listed(blob: bytes) -> list[str]:
@@ -156,7 +156,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
                 out.append(squeeze(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids)))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(out, pa.binary()), pa.array([len(_) for _ in out], pa.int32())], ["chunk", "bucket", "ids", "size"])
 
-    return words.mapInArrow(each, "chunk bigint, bucket int, ids binary, size int").drop("size")
+    return words.mapInArrow(W.tidy(each), "chunk bigint, bucket int, ids binary, size int").drop("size")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -191,7 +191,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 out.append(b"".join(map(ids.__getitem__, parts)))
             else:
                 out.append(b"")
-        return table.rename_columns(names).append_column("ids", pa.array(out, pa.binary()))
+        done = table.rename_columns(names).append_column("ids", pa.array(out, pa.binary()))
+        del ids, lists, texts, out
+        W.release()
+        return done
 
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, schema)
 
@@ -217,7 +220,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into:
                 out.append(data[np.repeat(starts[i] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*at, into])
 
-    return encoded.mapInArrow(each, schema)
+    return encoded.mapInArrow(W.tidy(each), schema)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["item_id", "hashes", "words"])
 
     frame = W.as_bytes(items.withColumn("item_key", items[item_id].cast("string")), "item_key", text)
-    return frame.mapInArrow(each, "item_id string, hashes array<bigint>, words binary")
+    return frame.mapInArrow(W.tidy(each), "item_id string, hashes array<bigint>, words binary")
 
 
 def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -78,7 +78,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(vocab[some].view(np.int64)), pa.array(total[some])], ["word", "n"])
 
-    return docs.mapInArrow(each, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(W.tidy(each), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class _Index:
@@ -175,7 +175,7 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
                             items[d] += index.items[r]
                     yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(firsts)), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], schema=_MATCHES)
 
-        part = docs.mapInArrow(each, "row_key bigint, doc_id bigint, n_words bigint, hits array<int>, items array<string>")
+        part = docs.mapInArrow(W.tidy(each), "row_key bigint, doc_id bigint, n_words bigint, hits array<int>, items array<string>")
         # the first block gives every row, the others those with hits
         out = part if out is None else out.unionByName(part.filter(F.size("hits") > 0))
     if blocks > 1:

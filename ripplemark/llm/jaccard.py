@@ -49,11 +49,11 @@ PERCENT = 75
 #: Shingles that come last in the order: at most so many, broadcast (4 MB).
 HOT_SHINGLES = 262_144
 #: A shingle is counted as hot if so many documents hold it, of those that have so many shingles in all.
-HOT_LEAST, HOT_WEIGHT = 4, 2_000_000
+HOT_LEAST, HOT_WEIGHT = 4, 1_000_000
 #: Percent of a set's size by which its prefix is longer, so that links need as many shared shingles.
 EXTRA = 8
 #: Documents and shingles joined at once (besides pivots, or twice in blocks).
-PART, WEIGHT = 256, 500_000
+PART, WEIGHT = 256, 300_000
 #: Pivots of a region with more, on average.
 PIVOTS = 4
 #: Sets whose copies are left out early, by a broadcast (3 MB), and sets that a task remembers.
@@ -124,7 +124,7 @@ def survey(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if held:
             yield count()
 
-    return docs.mapInArrow(each, ", ".join(f"{x.name} bigint" for x in schema))
+    return docs.mapInArrow(W.tidy(each), ", ".join(f"{x.name} bigint" for x in schema))
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, copied: dict[tuple[int, int], int], width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -167,7 +167,7 @@ def signatures(docs: DataFrame, hot: np.ndarray, copied: dict[tuple[int, int], i
                     warm.append(s[is_hot][np.argsort(rank[at[is_hot]])][: k - len(rare)].view(np.int64) if len(rare) < k else [])
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in (n, h1, h2)], *[pa.array(x, pa.list_(pa.int64())) for x in (cold, warm)]], schema=schema)
 
-    return docs.mapInArrow(each, "doc_id bigint, n bigint, h1 bigint, h2 bigint, cold array<bigint>, warm array<bigint>")
+    return docs.mapInArrow(W.tidy(each), "doc_id bigint, n bigint, h1 bigint, h2 bigint, cold array<bigint>, warm array<bigint>")
 
 
 def _sizes(members: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def _join_parts(parts: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
     wanted = split_docs(texts, doc_filter(parts.select("doc_id").distinct()), True)
     rows = parts.join(wanted, "doc_id").select("region", "part", "doc_id", "pivot", "docs", "text")
-    return rows.repartition("region", "part").sortWithinPartitions("region", "part").mapInArrow(each, "a bigint, b bigint, pivot bigint, d double, settled boolean, n bigint, docs bigint")
+    return rows.repartition("region", "part").sortWithinPartitions("region", "part").mapInArrow(W.tidy(each), "a bigint, b bigint, pivot bigint, d double, settled boolean, n bigint, docs bigint")
 
 
 def _next(cells: DataFrame, percent: int) -> DataFrame:

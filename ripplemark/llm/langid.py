@@ -62,7 +62,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["lang", "slot", "n"])
 
-    return docs.mapInArrow(each, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(W.tidy(each), "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
                     out.append((langs[int(share.argmax())], min(1.0, score), [(x, float(s)) for x, s in zip(langs, share, strict=True) if s > 0]))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in out], schema.field(i + 1).type) for i in range(3)]], schema=schema)
 
-    return docs.mapInArrow(each, "doc_id bigint, lang_pred string, score double, shares map<string,double>")
+    return docs.mapInArrow(W.tidy(each), "doc_id bigint, lang_pred string, score double, shares map<string,double>")
 
 
 def remainder(doc_id: Column, n: int) -> Column:

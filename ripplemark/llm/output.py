@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), ids], ["doc_id", "n_tokens", "ids"])
 
-    rows = ordered.mapInArrow(each, "doc_id bigint, n_tokens bigint, ids array<int>")
+    rows = ordered.mapInArrow(W.tidy(each), "doc_id bigint, n_tokens bigint, ids array<int>")
     rows.write.option("orc.compress", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", "10000").option("orc.stripe.size", str(64 << 20)).orc(path)
 
 

@@ -84,7 +84,7 @@ def context_sums(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some].astype(np.int64))], ["slot", "n"])
 
-    return docs.mapInArrow(each, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(W.tidy(each), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
 def word_vectors(sums: DataFrame) -> np.ndarray:
@@ -121,7 +121,7 @@ def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
             x = [_pooled(shared.value, data, offs) for _, _, data, offs in W.slices(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tolist() for p in x for r in p], pa.list_(pa.float32()))], ["doc_id", "x"])
 
-    return docs.mapInArrow(each, "doc_id bigint, x array<float>")
+    return docs.mapInArrow(W.tidy(each), "doc_id bigint, x array<float>")
 
 
 class Network:
@@ -187,7 +187,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
             s = [network(_pooled(vectors, data, offs).astype(np.float64)) for _, _, data, offs in W.slices(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.empty(0), *s]), pa.float64())], ["doc_id", "score"])
 
-    return docs.mapInArrow(each, "doc_id bigint, score double")
+    return docs.mapInArrow(W.tidy(each), "doc_id bigint, score double")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 if len(text):
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[lo + text]), pa.array((start - firsts[text]).astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "slice", "doc_id", "start", "n"])
 
-    return docs.mapInArrow(each, "anchor bigint, slice bigint, doc_id bigint, start int, n int")
+    return docs.mapInArrow(W.tidy(each), "anchor bigint, slice bigint, doc_id bigint, start int, n int")
 
 
 def doc_filter(ids: DataFrame) -> np.ndarray:
@@ -114,7 +114,7 @@ def split_docs(docs: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
             hit = (shared.value[(s >> _U(6)).astype(np.int64)] >> (s & _U(63))) & _U(1)
             yield b.select([0, 1]).filter(pa.array((hit == 1) == inside))
 
-    return docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(each, "doc_id bigint, text binary")
+    return docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(W.tidy(each), "doc_id bigint, text binary")
 
 
 class Wavelet:
@@ -255,7 +255,7 @@ def _words_of_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("slices"))
     some = split_docs(docs, doc_filter(lists), True)
-    return some.join(lists, "doc_id").select("doc_id", "text", "slices").mapInArrow(each, "anchor bigint, doc_id bigint, start int, words binary, hot boolean")
+    return some.join(lists, "doc_id").select("doc_id", "text", "slices").mapInArrow(W.tidy(each), "anchor bigint, doc_id bigint, start int, words binary, hot boolean")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -307,8 +307,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    clean = split_docs(texts, bits, False).mapInArrow(each, _RESULT)
-    rest = split_docs(texts, bits, True).join(spots, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(each, _RESULT)
+    clean = split_docs(texts, bits, False).mapInArrow(W.tidy(each), _RESULT)
+    rest = split_docs(texts, bits, True).join(spots, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(W.tidy(each), _RESULT)
     return clean.unionByName(rest).withColumn("doc_id", W.without_keys(F.col("doc_id"), top))
 
 

@@ -62,7 +62,7 @@ def word_sets(docs: DataFrame) -> DataFrame:
             sets = [s.view(np.int64).tolist() for _, _, data, offs in W.slices(b.column(1)) for s in _sets(data, offs)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "words"])
 
-    return docs.mapInArrow(each, "doc_id bigint, words array<bigint>")
+    return docs.mapInArrow(W.tidy(each), "doc_id bigint, words array<bigint>")
 
 
 class _Linear:
@@ -181,7 +181,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             p = np.concatenate([np.zeros((0, len(names))), *p])
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(len(names))]], ["doc_id", *names])
 
-    return docs.mapInArrow(each, "doc_id bigint, " + ", ".join(f"{x} double" for x in names))
+    return docs.mapInArrow(W.tidy(each), "doc_id bigint, " + ", ".join(f"{x} double" for x in names))
 
 
 def toxicity(docs: DataFrame, source: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             p = [shared.value(_sets(data, offs))[:, -1] for _, _, data, offs in W.slices(b.column(at).cast(pa.binary()))]
             yield b.filter(pa.array(np.concatenate([np.empty(0), *p]) < LEAST_SCORE))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(W.tidy(each), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ word classes used here hold every byte from 0x80 up, byte runs equal code-point
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Gives memory that this process no longer needs back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work):
+    """The work on a task's Arrow batches; at its end the Python worker, which waits for further tasks, releases memory."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return each
+
+
 def as_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
     """Id, UTF-8 bytes of the text (null: empty) and further columns, under fixed names."""
     small_batches(docs.sparkSession)
