@@ -295,7 +295,8 @@ def _join_parts(parts: DataFrame, texts: DataFrame, width: int, percent: int) ->
             yield joined()
 
     wanted = split_docs(texts, doc_filter(parts.select("doc_id").distinct()), True)
-    rows = parts.join(wanted, "doc_id").select("region", "part", "doc_id", "pivot", "docs", "text")
+    # always by a shuffle: parts grow with the documents, so a broadcast would only serve small inputs
+    rows = parts.join(wanted.hint("merge"), "doc_id").select("region", "part", "doc_id", "pivot", "docs", "text")
     return rows.repartition("region", "part").sortWithinPartitions("region", "part").mapInArrow(W.tidy(each), "a bigint, b bigint, pivot bigint, d double, settled boolean, n bigint, docs bigint")
 
 
