@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import free_prefix
+
 # Each pattern finds the same matches as the plain form of the kind (leftmost, not overlapping),
 # written so that it can neither backtrack over long runs nor start in the middle of one.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -75,20 +77,12 @@ def _running(a: Column, op, zero: int) -> Column:
     return F.when(n > 0, F.flatten(both["out"])).otherwise(none)
 
 
-def _free(docs: DataFrame) -> str:
-    """A beginning of names that no column has."""
-    start = "_own"
-    while any(c.lower().startswith(start) for c in docs.columns):
-        start += "_"
-    return start
-
-
 def candidates(docs: DataFrame, text: str = "text", name: str = "candidates") -> DataFrame:
     """The documents with an array of (kind, start, end, match, before, after) of all kinds, that pass their base kind's checks.
 
     By kind and start.  Candidates of the further kinds that overlap a base span are left out.
     """
-    own = _free(docs)
+    own = free_prefix(docs)
     t = F.col(f"{own}_t")
     out = docs.withColumn(f"{own}_t", F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn(f"{own}_d", t.rlike("[0-9]"))
@@ -232,7 +226,7 @@ def score(c: Column, v: Column, weights: dict[str, float]) -> Column:
 
 def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5, name: str = "spans") -> DataFrame:
     """The documents with an array of (kind, start, end, match, score), by kind and start, under `name`."""
-    own = _free(docs)
+    own = free_prefix(docs)
     found = candidates(docs, text, own)
     table = [r.asDict() for r in vote_table(found, own).collect()]  # kinds x votes x length classes
     table.sort(key=lambda r: tuple(str(r[x]) for x in ("kind", *LABELERS, "size")))
@@ -245,7 +239,7 @@ def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5, name: str
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; n_chars, if there is one, follows the text."""
-    own = _free(docs)
+    own = free_prefix(docs)
     spans, kept, new = f"{own}_spans", f"{own}_kept", f"{own}_text"
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
     # spans that begin within an earlier one make it longer

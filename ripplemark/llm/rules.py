@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import free_prefix
+
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]+"
 
@@ -36,20 +38,21 @@ def _covered(spots: Column, window: int = 3) -> Column:
 
 
 def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with n_words, word_chars, n_chars_all, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_upper."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_body", body)
+    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_upper."""
+    own = free_prefix(docs)
+    body, words, lines, spots, twice = (f"{own}_{x}" for x in ("body", "words", "lines", "spots", "twice"))
+    out = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
     out = out.withColumns({
-        "_words": F.array_remove(F.split("_body", SPACES), ""),
-        "_lines": F.filter(F.split("_body", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
-        "word_chars": F.length(F.regexp_replace("_body", SPACES, "")).cast("long"),
-        "n_symbols": (F.length("_body") - F.length(F.regexp_replace("_body", SYMBOLS, ""))).cast("long"),
-        "n_upper": (F.length("_body") - F.length(F.regexp_replace("_body", "[A-Z]+", ""))).cast("long"),
+        words: F.array_remove(F.split(body, SPACES), ""),
+        lines: F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
+        "word_chars": F.length(F.regexp_replace(body, SPACES, "")).cast("long"),
+        "n_symbols": (F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).cast("long"),
+        "n_upper": (F.length(body) - F.length(F.regexp_replace(body, "[A-Z]+", ""))).cast("long"),
     })
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_spots": repeated_words(F.col("_words"))})
-    out = out.drop("_words", "_lines", "_body").withColumn("_twice", _covered(F.col("_spots"))).drop("_spots")
-    gap = F.transform("_twice", lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col("_twice"), i + 1) - x, F.lit(3))))
-    return out.withColumn("n_repeat_words", F.coalesce(F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long")).drop("_twice")
+    out = out.withColumns({"n_words": F.size(words).cast("long"), "n_lines": F.size(lines).cast("long"), "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"), spots: repeated_words(F.col(words))})
+    out = out.drop(words, lines, body).withColumn(twice, _covered(F.col(spots))).drop(spots)
+    gap = F.transform(twice, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col(twice), i + 1) - x, F.lit(3))))
+    return out.withColumn("n_repeat_words", F.coalesce(F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long")).drop(twice)
 
 
 #: Rule name -> when it fails, over the measurements.  The position in this table is the bit.
