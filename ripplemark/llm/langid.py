@@ -2,8 +2,9 @@
 
 Each language is a distribution over letter trigrams, counted over all training documents.  For a
 document, expectation-maximisation estimates the proportions of the languages in it; the language
-set is the one of highest penalised likelihood (a mixture must beat the best single language by
-its parameters' cost).
+set is the one of highest penalised likelihood among the best single language, all languages with
+a share, and the sets left when those of the smallest share are dropped one after the other (a
+mixture must beat the best single language by its parameters' cost).
 
 Null texts and texts without letters are `und` with score 0.  Rows with null lang do not train;
 with nothing to learn from, every text is `und`.  Repeated documents each get their row.
@@ -97,14 +98,18 @@ def choose(logp: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
     share = np.zeros(len(logp))
     share[best] = 1
     if len(logp) > 1:
-        mixed = mixture(logp, counts)[0]
-        some = np.flatnonzero(mixed >= LEAST_SHARE)
-        if len(some) > 1:
+        some = np.flatnonzero(mixture(logp, counts)[0] >= LEAST_SHARE)
+        found, most = None, 0.0
+        while len(some) > 1:
             parts, fit_ = mixture(logp[some], counts)
-            if fit_ - alone[best] > PENALTY * (len(some) - 1) * np.log(counts.sum() + 1):
-                share[best] = 0
-                share[some] = parts
-                return share, float(share.max())
+            gain = fit_ - alone[best] - PENALTY * (len(some) - 1) * np.log(counts.sum() + 1)
+            if gain > most:
+                found, most = (some, parts), gain
+            some = np.delete(some, parts.argmin())
+        if found is not None:
+            share[best] = 0
+            share[found[0]] = found[1]
+            return share, float(share.max())
     return share, float(1 / np.exp(np.maximum(alone - alone[best], -700)).sum())
 
 

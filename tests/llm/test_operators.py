@@ -286,6 +286,33 @@ def test_rules(spark, docs):
     assert kept["few_words"].n_failed == sum(r.n_words < 50 for r in rows)
 
 
+def test_rules_on_clashing_names(spark):
+    """Columns with the names of helpers are kept."""
+    df = spark.createDataFrame([(1, "a b c a b c", 5, "x")], "doc_id long, text string, _own_words int, _body string").selectExpr("*", "7 AS _words", "8 AS _twice")
+    r = rules.ledger(df).first()
+    assert (r["_own_words"], r["_body"], r["_words"], r["_twice"], r.n_words, r.n_repeat_words) == (5, "x", 7, 8, 6, 6)
+
+
+def test_mixtures():
+    """Against all sets of languages, by brute force: shares of planted mixtures, and one language for texts of one."""
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet(np.full(400, 0.3), 5) * 0.95 + 0.05 / 400
+    logp = np.log(p)
+    for planted in ([0], [3], [0, 1], [2, 4], [0, 2, 3]):
+        counts = rng.multinomial(3000, p[planted].mean(0)).astype(float)
+        use = np.flatnonzero(counts)
+        share, score = langid.choose(logp[:, use], counts[use])
+        best = {}
+        for mask in range(1, 32):
+            some = [k for k in range(5) if mask >> k & 1]
+            w = np.full(len(some), 1 / len(some))
+            for _ in range(400):
+                w = w * (p[some] @ (counts / np.maximum(w @ p[some], 1e-300))) / counts.sum()
+            best[tuple(some)] = counts[use] @ np.log(w @ p[some][:, use]) - langid.PENALTY * (len(some) - 1) * np.log(counts.sum() + 1)
+        assert tuple(np.flatnonzero(share)) == max(best, key=best.get) == tuple(planted)
+        assert np.abs(share[planted] - 1 / len(planted)).max() < 0.06 and 0 <= score <= 1
+
+
 def test_models_on_odd_rows(spark, docs):
     labels = spark.createDataFrame([(k, k % 2, int(k == 3)) for k in range(len(TEXTS))], "doc_id long, quality int, toxic int")
     langs, logp = langid.fit(langid.trigram_counts(W.as_bytes(docs.filter("lang IS NOT NULL"), "doc_id", "text", "lang")))
