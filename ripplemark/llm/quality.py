@@ -1,10 +1,12 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network in numpy.
 
-Each word falls into one of SHAPES shape buckets (classes of its first and last bytes) and one of
-WORDS word buckets.  A bucket's vector is its random index vector plus the mean of its neighbours'
-index vectors over the whole corpus.  A document is the mean of its words' vectors, with a few
-counts; a two-layer network, fitted on at most TRAIN_ROWS labelled rows (those whose ids hash
-lowest), gives a probability, whose temperature is set on rows kept out of the fit.
+A word's index vector is sparse and made from the word's hash.  The VOCABULARY most frequent words
+of the corpus have a vector each: their index vector plus the mean of their neighbours' index
+vectors over all documents.  Beside it every word has the vector of its shape (classes of its first
+and last bytes, SHAPES buckets), made alike; a rarer word takes its shape's vector for its own.  A
+document is the mean of its words' vectors, with a few counts; a two-layer network, fitted on at
+most TRAIN_ROWS labelled rows (those whose ids hash lowest), gives a probability, whose temperature
+is set on rows kept out of the fit.
 
 Null and empty texts are scored as documents without words.  Rows without a label do not train;
 with fewer than two classes the score is the share of label 1 (0.5 without rows).
@@ -13,6 +15,7 @@ with fewer than two classes the score is the share of label 1 (0.5 without rows)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,103 +25,170 @@ from pyspark.sql import functions as F
 from . import words as W
 from .langid import remainder
 
-SHAPES, WORDS, DIM, ONES = 512, 1536, 32, 4
-BUCKETS = SHAPES + WORDS
+VOCABULARY, SHAPES, DIM, ONES = 8192, 512, 32, 4
 TRAIN_ROWS = 20_000
+#: Words that a task counts before it hands its counts on.
+COUNTED = 500_000
+FEATURES = 2 * DIM + 3
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[0x41:0x5B], _CLASS[0x61:0x7B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 65, 97, 48, 97
 
 
-def index_vectors(seed: int = 7) -> np.ndarray:
-    """Sparse ternary index vectors of the buckets."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((BUCKETS, DIM), np.int64)
-    for row in out:
-        row[rng.choice(DIM, ONES, replace=False)] = rng.choice([-1, 1], ONES)
-    return out
+class Words(NamedTuple):
+    """The words of a slice of texts."""
+
+    hash: np.ndarray  # of the lower-cased word
+    shape: np.ndarray  # bucket
+    same: np.ndarray  # equal to the word before it
+    size: np.ndarray  # bytes
+    firsts: np.ndarray  # first word of each text, with an end
+
+
+class Vectors(NamedTuple):
+    """Known words (hashes, ascending) and the vectors of words, then shapes."""
 
+    known: np.ndarray
+    table: np.ndarray
 
-def _buckets(data: np.ndarray, offs: np.ndarray):
-    """Shape and word bucket of each word, first words, whether a word repeats the one before, sizes."""
+
+def words(data: np.ndarray, offs: np.ndarray) -> Words:
+    """Hash, shape bucket, repetition and size of each word."""
     starts, ends, firsts = W.spans(data, offs)
-    if not len(starts):
-        none = np.empty(0, np.int64)
-        return none, none, firsts, none.astype(bool), none
+    h = W.hashes(W.LOWER[data], starts, ends)
+    same = np.zeros(len(h), bool)
+    if not len(h):
+        return Words(h, np.empty(0, np.int64), same, ends - starts, firsts)
     c = _CLASS[data].astype(np.uint64)
     last = ends - 1
     shape = c[starts]
     for at in (np.minimum(starts + 1, last), np.maximum(starts, last - 2), np.maximum(starts, last - 1), last):
         shape = shape * np.uint64(257) + c[at]
-    h = W.hashes(W.LOWER[data], starts, ends)
-    same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
     same[firsts[:-1][firsts[:-1] < len(h)]] = False
-    return (W.mix(shape) % np.uint64(SHAPES)).astype(np.int64), (h % np.uint64(WORDS)).astype(np.int64) + SHAPES, firsts, same, ends - starts
+    return Words(h, (W.mix(shape) % np.uint64(SHAPES)).astype(np.int64), same, ends - starts, firsts)
+
+
+def index_parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ONES dimensions and signs of each hash's index vector; a dimension may come twice."""
+    bits = W.mix(h[:, None] + np.arange(1, ONES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return (bits % np.uint64(DIM)).astype(np.int64), np.where(bits >> np.uint64(63), 1.0, -1.0)
+
+
+def index_vectors(h: np.ndarray) -> np.ndarray:
+    """Index vectors of the hashes."""
+    at, sign = index_parts(h)
+    out = np.zeros((len(h), DIM))
+    np.add.at(out, (np.arange(len(h))[:, None], at), sign)
+    return out
+
 
+def slots(known: np.ndarray, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Row of each word in the table of vectors: its own, or its shape's."""
+    if not len(known):
+        return shape
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, len(known) + shape)
 
-def context_sums(docs: DataFrame) -> DataFrame:
-    """(slot, n): per bucket and dimension the sum of the neighbours' index vectors, and, beyond
-    BUCKETS x DIM, per bucket how many neighbours were summed."""
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): occurrences of each word in all documents, by the word's hash."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_h, held_n = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(held_h.view(np.int64)), pa.array(held_n)], ["h", "n"])
+
+        for b in batches:
+            for _, _, data, offs in W.slices(b.column(1)):
+                h, n = np.unique(words(data, offs).hash, return_counts=True)
+                held_h, inverse = np.unique(np.concatenate([held_h, h]), return_inverse=True)
+                held_n = np.bincount(inverse, np.concatenate([held_n, n]), len(held_h)).astype(np.int64)
+                if len(held_h) > COUNTED:
+                    yield out()
+                    held_h, held_n = held_h[:0], held_n[:0]
+        yield out()
+
+    return docs.mapInArrow(W.tidy(each), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> np.ndarray:
+    """Hashes, ascending, of the VOCABULARY most frequent words; equal counts by hash."""
+    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).select("h").toArrow().column("h").to_numpy()
+    return np.sort(top.astype(np.int64).view(np.uint64))
+
+
+def context_sums(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """(slot, n): for each row of the table of vectors (known words, then shapes) and dimension the
+    sum of its neighbours' index vectors, and, beyond these, how many neighbours each row has."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        where = np.array([np.flatnonzero(r) for r in index])
-        sign = np.take_along_axis(index, where, 1)
-        size = BUCKETS * DIM
-        total = np.zeros(size + BUCKETS)
+        known = shared.value
+        rows = len(known) + SHAPES
+        total = np.zeros(rows * (DIM + 1))
         for b in batches:
             for _, _, data, offs in W.slices(b.column(1)):
-                shape, word, firsts, _, _ = _buckets(data, offs)
-                if len(shape) < 2:
+                w = words(data, offs)
+                if len(w.hash) < 2:
                     continue
-                inside = np.ones(len(shape) - 1, bool)
-                edge = firsts[(firsts > 0) & (firsts < len(shape))]
+                inside = np.ones(len(w.hash) - 1, bool)
+                edge = w.firsts[(w.firsts > 0) & (w.firsts < len(w.hash))]
                 inside[edge - 1] = False
-                for own in (shape, word):
-                    for a, n in ((own[:-1], shape[1:]), (own[1:], shape[:-1])):
-                        a, n = a[inside], n[inside]
-                        pair = np.bincount(a * SHAPES + n, minlength=BUCKETS * SHAPES).reshape(BUCKETS, SHAPES)
-                        total[:size] += (pair @ index[:SHAPES]).ravel()
-                        total[size:] += pair.sum(1)
+                left = np.flatnonzero(inside)
+                own = slots(known, w.hash, w.shape)
+                at, sign = index_parts(w.hash)
+                for a, n in ((left, left + 1), (left + 1, left)):
+                    # a rarer word has no row of its own, and counts for its shape as all words do
+                    mine = own[a] < len(known)
+                    for row, by in ((own[a][mine], n[mine]), (len(known) + w.shape[a], n)):
+                        total[: rows * DIM] += np.bincount((row[:, None] * DIM + at[by]).ravel(), sign[by].ravel(), rows * DIM)
+                        total[rows * DIM :] += np.bincount(row, minlength=rows)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some].astype(np.int64))], ["slot", "n"])
 
     return docs.mapInArrow(W.tidy(each), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
-def word_vectors(sums: DataFrame) -> np.ndarray:
-    """Index vector plus mean context, of each bucket; BUCKETS x (DIM + 1) numbers come to the driver."""
-    table = sums.toArrow()
-    flat = np.zeros(BUCKETS * DIM + BUCKETS)
-    flat[table.column("slot").to_numpy()] = table.column("n").to_numpy()
-    context, n = flat[: BUCKETS * DIM].reshape(BUCKETS, DIM), flat[BUCKETS * DIM :]
-    return (index_vectors() + context / np.maximum(n, 1)[:, None]).astype(np.float32)
-
-
-def _pooled(vectors: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    shape, word, firsts, same, size = _buckets(data, offs)
-    n = np.diff(firsts)
-    out = np.zeros((len(n), 2 * DIM + 4), np.float32)
+def word_vectors(docs: DataFrame) -> Vectors:
+    """Vectors of the corpus's words; at most (VOCABULARY + SHAPES) x (DIM + 1) numbers come to the driver."""
+    known = vocabulary(word_counts(docs))
+    sums = context_sums(docs, known).toArrow()
+    rows = len(known) + SHAPES
+    flat = np.zeros(rows * (DIM + 1))
+    flat[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
+    context, n = flat[: rows * DIM].reshape(rows, DIM), flat[rows * DIM :]
+    index = index_vectors(np.concatenate([known, W.mix(np.arange(SHAPES, dtype=np.uint64))]))
+    return Vectors(known, (index + context / np.maximum(n, 1)[:, None]).astype(np.float32))
+
+
+def pooled(vectors: Vectors, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For each text the mean of its words' vectors and of their shapes', the share of words that
+    repeat the one before, the mean size of a word, and the logarithm of the number of words."""
+    w = words(data, offs)
+    n = np.diff(w.firsts)
+    out = np.zeros((len(n), FEATURES), np.float32)
     full = np.flatnonzero(n)
     if len(full):
-        at = firsts[:-1][full]
-        out[full, :DIM] = np.add.reduceat(vectors[shape], at) / n[full, None]
-        out[full, DIM : 2 * DIM] = np.add.reduceat(vectors[word], at) / n[full, None]
-        out[full, -4] = np.add.reduceat(same.astype(np.float32), at) / n[full]
-        out[full, -3] = np.add.reduceat(size.astype(np.float32), at) / n[full] / 8
-    out[:, -2] = np.log1p(n)
-    out[:, -1] = n < 50
+        at = w.firsts[:-1][full]
+        known = len(vectors.known)
+        for k, rows in enumerate((slots(vectors.known, w.hash, w.shape), known + w.shape)):
+            out[full, k * DIM : (k + 1) * DIM] = np.add.reduceat(vectors.table[rows], at) / n[full, None]
+        out[full, -3] = np.add.reduceat(w.same.astype(np.float32), at) / n[full]
+        out[full, -2] = np.add.reduceat(w.size.astype(np.float32), at) / n[full] / 8
+    out[:, -1] = np.log1p(n)
     return out
 
 
-def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
+def features(docs: DataFrame, vectors: Vectors) -> DataFrame:
     """(doc_id, x): pooled vectors."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vectors))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = Vectors(*shared.value)
         for b in batches:
-            x = [_pooled(shared.value, data, offs) for _, _, data, offs in W.slices(b.column(1))]
+            x = [pooled(vectors, data, offs) for _, _, data, offs in W.slices(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tolist() for p in x for r in p], pa.list_(pa.float32()))], ["doc_id", "x"])
 
     return docs.mapInArrow(W.tidy(each), "doc_id bigint, x array<float>")
@@ -169,22 +239,22 @@ def labelled(labels: DataFrame, column: str, modulus: int, held: int, rows: int)
     return use.groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def fit(docs: DataFrame, train: DataFrame) -> tuple[np.ndarray, Network]:
+def fit(docs: DataFrame, train: DataFrame) -> tuple[Vectors, Network]:
     """Word vectors of the corpus and the network; train: a bounded (doc_id, y)."""
-    vectors = word_vectors(context_sums(W.as_bytes(docs)))
+    vectors = word_vectors(W.as_bytes(docs))
     rows = features(W.as_bytes(docs.join(F.broadcast(train.select("doc_id")), "doc_id", "left_semi")), vectors).join(F.broadcast(train), "doc_id").orderBy("doc_id").toArrow()
-    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, 2 * DIM + 4)
+    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
     return vectors, Network(x, rows.column("y").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
+def score(docs: DataFrame, vectors: Vectors, network: Network) -> DataFrame:
     """(doc_id, score) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(vectors), network))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, network = shared.value
+        vectors, network = Vectors(*shared.value[0]), shared.value[1]
         for b in batches:
-            s = [network(_pooled(vectors, data, offs).astype(np.float64)) for _, _, data, offs in W.slices(b.column(1))]
+            s = [network(pooled(vectors, data, offs).astype(np.float64)) for _, _, data, offs in W.slices(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.empty(0), *s]), pa.float64())], ["doc_id", "score"])
 
     return docs.mapInArrow(W.tidy(each), "doc_id bigint, score double")

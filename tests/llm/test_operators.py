@@ -293,6 +293,44 @@ def test_rules_on_clashing_names(spark):
     assert (r["_own_words"], r["_body"], r["_words"], r["_twice"], r.n_words, r.n_repeat_words) == (5, "x", 7, 8, 6, 6)
 
 
+def test_word_vectors(spark, monkeypatch):
+    """Known words and vectors against plain loops over words, when counts are handed on early and words are rarer than the vocabulary."""
+    monkeypatch.setattr(quality, "COUNTED", 3)
+    monkeypatch.setattr(quality, "VOCABULARY", 4)
+    texts = ["the cat The dog ran", None, "a the", "", "cat the cat the 7up é", "alone", "b the cat dog"]
+    found = quality.word_vectors(W.as_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    own = {}
+    for t in texts:
+        for w in (t or "").split():
+            data = w.encode()
+            own[w] = quality.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    number = {w: int(x.hash[0]) for w, x in own.items()}
+    counts = Counter(number[w] for t in texts for w in (t or "").split())
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    top = sorted(counts, key=lambda h: (-counts[h], signed(h)))[:4]
+    assert found.known.tolist() == sorted(top)
+    index = lambda h: quality.index_vectors(np.array([h], np.uint64))[0]
+    near = {}
+    for t in texts:
+        w = (t or "").split()
+        for i in range(len(w)):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(w):
+                    near.setdefault(number[w[i]], []).append(index(number[w[j]]))
+                    near.setdefault(("shape", int(own[w[i]].shape[0])), []).append(index(number[w[j]]))
+    for k, h in enumerate(sorted(top)):
+        assert np.allclose(found.table[k], index(h) + np.mean(near[h], 0), atol=1e-5)
+    for b in range(quality.SHAPES):
+        at = index(int(W.mix(np.array([b], np.uint64))[0]))
+        assert np.allclose(found.table[4 + b], at + (np.mean(near["shape", b], 0) if ("shape", b) in near else 0), atol=1e-5)
+    data = "the rare rare".encode()
+    got = quality.pooled(found, np.frombuffer(data, np.uint8), np.array([0, len(data), len(data)]))
+    shapes = [4 + int(quality.words(np.frombuffer(x, np.uint8), np.array([0, len(x)])).shape[0]) for x in (b"the", b"rare", b"rare")]
+    mine = [sorted(top).index(number["the"]) if number["the"] in top else shapes[0], shapes[1], shapes[2]]
+    assert np.allclose(got[0], [*found.table[mine].mean(0), *found.table[shapes].mean(0), 1 / 3, 11 / 3 / 8, np.log1p(3)], atol=1e-5)
+    assert not got[1].any()
+
+
 def test_mixtures():
     """Against all sets of languages, by brute force: shares of planted mixtures, and one language for texts of one."""
     rng = np.random.default_rng(6)
