@@ -114,8 +114,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> np.ndarray:
-    """Hashes, ascending, of the VOCABULARY most frequent words; equal counts by hash."""
-    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).select("h").toArrow().column("h").to_numpy()
+    """Hashes, ascending, of the VOCABULARY most frequent words; equal counts by hash.
+
+    Words too rare to be among them are left out first, by powers of two of their counts, so that
+    what is sorted does not grow with the number of partitions.
+    """
+    power = F.floor(F.log2("n"))
+    least, words_above = 0, 0
+    for r in sorted(counts.groupBy(power.alias("power")).count().collect(), reverse=True):
+        least, words_above = r.power, words_above + r["count"]
+        if words_above >= VOCABULARY:
+            break
+    top = counts.filter(power >= least).orderBy(F.desc("n"), "h").limit(VOCABULARY).select("h").toArrow().column("h").to_numpy()
     return np.sort(top.astype(np.int64).view(np.uint64))
 
 
@@ -153,7 +163,7 @@ def context_sums(docs: DataFrame, known: np.ndarray) -> DataFrame:
 
 def word_vectors(docs: DataFrame) -> Vectors:
     """Vectors of the corpus's words; at most (VOCABULARY + SHAPES) x (DIM + 1) numbers come to the driver."""
-    known = vocabulary(word_counts(docs))
+    known = vocabulary(W.cut(word_counts(docs)))
     sums = context_sums(docs, known).toArrow()
     rows = len(known) + SHAPES
     flat = np.zeros(rows * (DIM + 1))
