@@ -164,11 +164,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The rows, written to the shared folder, with their lineage cut."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
