@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import module_root
 from .graph import live
+from .numbers import identified, numbered
 from .upsert import cut
 
 
@@ -40,36 +41,74 @@ def in_all_repos(seeds: DataFrame, symbols: DataFrame) -> DataFrame:
     return match_seeds(seeds.select(one, "seed"), symbols.select(one, "qualified_name", F.col("repo_id").alias("home"))).select(F.col("home").alias("repo_id"), "seed").distinct()
 
 
+def caller_lists(start: DataFrame, back: DataFrame, own: DataFrame, max_depth: int, limit: int) -> DataFrame:
+    """(id, row, depth): for each node of start (id), and those that its list is made of, the first `limit` rows
+    of its callers by (depth, row), at their least depth.
+
+    back: edges (dst, src) of node ids; own: (id, row), the rows that a node stands for.  A node's list is made of
+    its callers' lists, which are cut off at `limit` too; that loses nothing, as what stands before a row in a
+    caller's list stands before it here as well.  So a hub with a million callers is `limit` rows after the first
+    round, which Spark cuts off before it shuffles, and is not joined again: its list is full.
+    """
+    need = wanted = start.select("id").distinct()
+    for _ in range(max_depth - 1):
+        need = cut(back.join(need, back["dst"] == need["id"], "left_semi").select(F.col("src").alias("id")).distinct())
+        wanted = wanted.unionByName(need)
+    wanted = wanted.distinct()
+    back = cut(back.join(wanted, back["dst"] == wanted["id"], "left_semi").select("dst", "src"))
+    rows = back.join(own.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "row").distinct()
+    new = cut(first_n(rows, ["id"], ["row"], limit))
+    lists = new.withColumn("depth", F.lit(1))
+    for depth in range(2, max_depth + 1):
+        sizes = cut(lists.groupBy(F.col("id").alias("dst")).agg(F.count("*").alias("n")))
+        # a list that isn't full holds all rows of lower depth: what is new comes from the callers' rows of the round before
+        rest = back.join(sizes, "dst", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") < limit)
+        rows = rest.join(new.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "row").agg(F.max("n").alias("n"))
+        rows = rows.join(lists.select("id", "row"), ["id", "row"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("id").orderBy("row"))
+        new = cut(rows.withColumn("_rank", place).filter(F.col("_rank") <= limit).filter(F.col("_rank") + F.col("n") <= limit).select("id", "row"))
+        lists = lists.unionByName(new.withColumn("depth", F.lit(depth)))
+    return lists
+
+
+def radius_numbers(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 200, scope: str = "repo") -> tuple[DataFrame, DataFrame]:
+    """The blast radius in numbers: (repo_id, seed, row, depth), and (row, repo_id, name, file, kind) in order of name, file, kind.
+
+    With scope "all" neither has a repo_id.
+    """
+    max_depth, home = min(10, max(1, max_depth)), ["repo_id"] * (scope == "repo")
+    known = live(symbols).select("repo_id", F.col("qualified_name").alias("node"), "name", F.col("file_path").alias("file"), F.col("type").alias("kind"))
+    rows = numbered(known.select(*home, "name", "file", "kind"), [*home, "name", "file", "kind"], "row")
+    found = seeds if scope == "repo" else in_all_repos(seeds, symbols)
+    start = match_seeds(found, live(symbols)).select("repo_id", "seed", F.col("qualified_name").alias("node"))
+    calls = cut(edges.select("repo_id", "src", "dst"))
+    ends = [calls.select("repo_id", F.col(c).alias("node")) for c in ("src", "dst")]
+    nodes = identified(known.select("repo_id", "node").unionByName(ends[0]).unionByName(ends[1]), "id")
+    # equal also where a name is null, as the rows are distinct with their nulls
+    same = [known[c].eqNullSafe(rows[c]) for c in (*home, "name", "file", "kind")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    own = known.join(rows, on).select(known["repo_id"], "node", "row").join(nodes, ["repo_id", "node"]).select("id", "row").distinct()
+    back = calls
+    for c in ("src", "dst"):
+        back = back.join(nodes.select("repo_id", F.col("node").alias(c), F.col("id").alias(f"_{c}")), ["repo_id", c])
+    back = cut(back.select(F.col("_dst").alias("dst"), F.col("_src").alias("src")).distinct())
+    start = cut(start.join(nodes, ["repo_id", "node"]).select(*home, "seed", "id").distinct())
+    lists = caller_lists(start, back, cut(own), max_depth, limit)
+    merged = start.join(lists, "id").groupBy(*home, "seed", "row").agg(F.min("depth").alias("depth"))
+    return first_n(merged, [*home, "seed"], ["depth", "row"], limit), rows
+
+
 def blast_radius(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 200, scope: str = "repo") -> DataFrame:
     """(repo_id, seed, name, file, kind, depth): live callers within max_depth hops of the live symbols that a
     seed names, at their least depth, the first `limit` of each seed by depth and name.
 
     scope: "repo", or "all": seeds (seed) name symbols of any repository, and the rows of a seed
-    have no repo_id.  Frontier joins: at most max_depth rounds; nodes met once aren't followed
-    again, nor are seeds that have `limit` rows, as rows are ordered by depth.  Deleted symbols are
-    followed, not reported.
+    have no repo_id.  Deleted symbols are followed, not reported.  See caller_lists().
     """
-    if scope == "all":
-        rows = blast_radius(in_all_repos(seeds, symbols), symbols, edges, max_depth, limit)
-        return first_n(rows.groupBy("seed", "name", "file", "kind").agg(F.min("depth").alias("depth")), ["seed"], ["depth", "name", "file", "kind"], limit)
-    max_depth = min(10, max(1, max_depth))
-    backward = edges.select("repo_id", F.col("dst").alias("node"), "src").distinct()
-    frontier = match_seeds(seeds, live(symbols)).select("repo_id", "seed", F.col("qualified_name").alias("node")).distinct()
-    info = live(symbols).select("repo_id", F.col("qualified_name").alias("node"), "name", F.col("file_path").alias("file"), F.col("type").alias("kind"))
-    met: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
-        if depth > 1:  # with `limit` callers at least one step before, there may be as many rows
-            many = met.groupBy("repo_id", "seed").agg(F.count("*").alias("n")).filter(F.col("n") >= limit).select("repo_id", "seed")
-            full = met.join(many, ["repo_id", "seed"]).join(info, ["repo_id", "node"]).groupBy("repo_id", "seed").agg(F.count_distinct("name", "file", "kind").alias("n")).filter(F.col("n") >= limit)
-            frontier = frontier.join(full, ["repo_id", "seed"], "left_anti")
-        step = frontier.join(backward, ["repo_id", "node"]).select("repo_id", "seed", F.col("src").alias("node")).distinct()
-        if met is not None:
-            step = step.join(met, ["repo_id", "seed", "node"], "left_anti")
-        frontier = cut(step)
-        found = frontier.withColumn("depth", F.lit(depth))
-        met = found if met is None else met.unionByName(found)
-    rows = met.join(info, ["repo_id", "node"]).groupBy("repo_id", "seed", "name", "file", "kind").agg(F.min("depth").alias("depth"))
-    return first_n(rows, ["repo_id", "seed"], ["depth", "name", "file", "kind"], limit)
+    found, rows = radius_numbers(seeds, symbols, edges, max_depth, limit, scope)
+    return found.join(rows.select("row", "name", "file", "kind"), "row").select(*["repo_id"] * (scope == "repo"), "seed", "name", "file", "kind", "depth")
 
 
 def trails(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
@@ -111,37 +150,53 @@ def test_coverage(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, limit:
     return first_n(rows, ["repo_id", "seed"], ["test_file", "test_name"], limit).filter("test_file <> ''")
 
 
-def impacted_symbols(changed: DataFrame, radius: DataFrame, identity: str = "name") -> DataFrame:
-    """(repo_id, commit_id, name, file, kind, depth): one row for each name and commit, at the lowest depth;
-    of equals the one of the first changed symbol.
+def impacted_symbols(first: DataFrame, radius: DataFrame, names: DataFrame, rows: int, ordinals: int) -> DataFrame:
+    """(commit, label, row, depth, ordinal): of each commit's radius rows the first of each label by (depth, ordinal, row).
 
-    changed: (repo_id, commit_id, ordinal, symbol, ...).  The radius is found once for each symbol and joined.
+    first: (commit, seed, ordinal); radius: (seed, row, depth); names: (row, label); all numbers, below `rows` and
+    `ordinals`.  The order is packed into one number, of which partial aggregation keeps the least.
     """
-    first = changed.groupBy("repo_id", "commit_id", F.col("symbol").alias("seed")).agg(F.min("ordinal").alias("ordinal"))
-    return first_n(first.join(radius, ["repo_id", "seed"]), ["repo_id", "commit_id", identity], ["depth", "ordinal", "file", "kind"], 1).select("repo_id", "commit_id", "name", "file", "kind", "depth", "ordinal")
+    both = first.join(radius, "seed").join(names, "row").select("commit", "label", "depth", "ordinal", "row")
+    row_bits, ordinal_bits = max(1, int(rows).bit_length()), max(1, int(ordinals).bit_length())
+    if row_bits + ordinal_bits + 4 > 63:  # too many for one number
+        best = both.groupBy("commit", "label").agg(F.min(F.struct("depth", "ordinal", "row")).alias("x"))
+        return best.select("commit", "label", "x.row", "x.depth", "x.ordinal")
+    packed = F.shiftleft(F.col("depth").cast("long"), row_bits + ordinal_bits).bitwiseOR(F.shiftleft(F.col("ordinal").cast("long"), row_bits)).bitwiseOR(F.col("row"))
+    best = both.groupBy("commit", "label").agg(F.min(packed).alias("x"))
+    low = lambda bits: F.lit((1 << bits) - 1)
+    return best.select("commit", "label", F.col("x").bitwiseAND(low(row_bits)).alias("row"), F.shiftright("x", row_bits + ordinal_bits).cast("int").alias("depth"), F.shiftright("x", row_bits).bitwiseAND(low(ordinal_bits)).alias("ordinal"))
 
 
-def coverage_gaps(changed: DataFrame, impacted: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(repo_id, commit_id, part, ordinal, gap): changed, then impacted symbols without tests, as file::name."""
-    rows = changed.select("repo_id", "commit_id", F.lit(0).alias("part"), "ordinal", F.col("file"), F.col("symbol").alias("seed")).unionByName(
-        impacted.select("repo_id", "commit_id", F.lit(1).alias("part"), F.col("depth").alias("ordinal"), "file", F.col("name").alias("seed"))
-    )
-    bare = rows.join(coverage.select("repo_id", "seed").distinct(), ["repo_id", "seed"], "left_anti")
-    return bare.select("repo_id", "commit_id", "part", "ordinal", F.concat_ws("::", "file", "seed").alias("gap"))
+def coverage_gaps(changed: DataFrame, impacted: DataFrame, covered: DataFrame, key: list[str]) -> DataFrame:
+    """(key, part, ordinal, gap): changed, then impacted symbols without tests, as file::name.
 
+    changed: (key, ordinal, seed, file, name); impacted: (key, depth, seed, file, name); covered: (seed), which may be a number.
+    """
+    rows = changed.select(*key, F.lit(0).alias("part"), "ordinal", "seed", "file", "name").unionByName(impacted.select(*key, F.lit(1).alias("part"), F.col("depth").alias("ordinal"), "seed", "file", "name"))
+    bare = rows.join(covered, "seed", "left_anti")
+    return bare.select(*key, "part", "ordinal", F.concat_ws("::", "file", "name").alias("gap"))
 
-def tests_to_run(changed: DataFrame, impacted: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(repo_id, commit_id, tests_to_run): sorted distinct test files over changed and impacted symbols."""
-    both = changed.select("repo_id", "commit_id", F.col("symbol").alias("seed")).unionByName(impacted.select("repo_id", "commit_id", F.col("name").alias("seed"))).distinct()
-    return both.join(coverage, ["repo_id", "seed"]).groupBy("repo_id", "commit_id").agg(F.sort_array(F.collect_set("test_file")).alias("tests_to_run"))
 
+def tests_to_run(changed: DataFrame, impacted: DataFrame, coverage: DataFrame, key: list[str]) -> DataFrame:
+    """(key, tests_to_run): sorted distinct test files over changed and impacted symbols.
 
-def investigate(changed: DataFrame, impacted: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(repo_id, commit_id, fan_out_count, max_depth_reached, cross_module, has_test_coverage) of each commit."""
-    key = ["repo_id", "commit_id"]
-    roots = changed.filter("file <> ''").select(*key, module_root(F.col("file")).alias("root")).distinct()
-    over = impacted.filter("file <> ''").select(*key, module_root(F.col("file")).alias("root")).distinct().join(roots, [*key, "root"], "left_anti").groupBy(*key).agg(F.lit(True).alias("cross_module"))
-    tested = changed.select(*key, F.col("symbol").alias("seed")).distinct().join(coverage.select("repo_id", "seed").distinct(), ["repo_id", "seed"], "left_semi").groupBy(*key).agg(F.lit(True).alias("has_test_coverage"))
+    changed, impacted: (key, seed); coverage: (seed, test_file).  Test files are numbers until they are distinct in each key.
+    """
+    files = identified(coverage.select("test_file"), "_test")
+    of = coverage.join(files, "test_file").select("seed", "_test").distinct()
+    both = changed.select(*key, "seed").unionByName(impacted.select(*key, "seed")).join(of, "seed").select(*key, "_test").distinct()
+    return both.join(files, "_test").groupBy(*key).agg(F.sort_array(F.collect_list("test_file")).alias("tests_to_run"))
+
+
+def investigate(changed: DataFrame, impacted: DataFrame, covered: DataFrame, key: list[str]) -> DataFrame:
+    """(key, fan_out_count, max_depth_reached, cross_module, has_test_coverage) of each commit.
+
+    changed: (key, seed, root); impacted: (key, depth, root); covered: (seed); root: a file's module root, null without a
+    file.  Seeds and roots may be numbers.
+    """
+    roots = changed.filter("root IS NOT NULL").select(*key, "root").distinct()
+    over = impacted.filter("root IS NOT NULL").select(*key, "root").distinct().join(roots, [*key, "root"], "left_anti").select(*key).distinct().withColumn("cross_module", F.lit(True))
+    tested = changed.join(covered, "seed", "left_semi").select(*key).distinct().withColumn("has_test_coverage", F.lit(True))
     sizes = impacted.groupBy(*key).agg(F.count("*").alias("fan_out_count"), F.max("depth").alias("max_depth_reached"))
     out = changed.select(*key).distinct().join(sizes, key, "left").join(over, key, "left").join(tested, key, "left")
     return out.select(*key, F.coalesce("fan_out_count", F.lit(0)).cast("long").alias("fan_out_count"), F.coalesce("max_depth_reached", F.lit(0)).alias("max_depth_reached"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("cross_module", "has_test_coverage")])
