@@ -111,32 +111,52 @@ def blast_radius(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_dep
     return found.join(rows.select("row", "name", "file", "kind"), "row").select(*["repo_id"] * (scope == "repo"), "seed", "name", "file", "kind", "depth")
 
 
-def trails(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """(repo_id, seed, node, depth, names, used): all paths of callers that use no edge twice."""
-    names = symbols.select("repo_id", F.col("qualified_name").alias("node"), "name")
-    backward = edges.select("repo_id", F.col("dst").alias("node"), "src").distinct().withColumn("edge", F.concat_ws(">", "src", "node"))
-    at = match_seeds(seeds, live(symbols)).select("repo_id", "seed", F.col("qualified_name").alias("node"), F.array("name").alias("names"), F.array().cast("array<string>").alias("used"), F.lit(0).alias("depth")).dropDuplicates(["repo_id", "seed", "node"])
+def _first_distinct(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n distinct rows of each key; Spark leaves out later ones before it shuffles, as they have a rank in each task too."""
+    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_rank", place).filter(F.col("_rank") <= n).drop("_rank").distinct()
+
+
+def trails(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int, limit: int, fields: list[str]) -> DataFrame:
+    """(repo_id, seed, *fields, depth): the first `limit` rows of each seed, by depth and fields, on trails of callers that use no edge twice.
+
+    fields: ["path"], the names on a trail to a live caller; or name, file and kind of the live callers.  The rows of a
+    depth are cut off at `limit` where they are made, and a seed grows no further once it has `limit` rows, as deeper
+    ones come after them; so the trails of a hub are not written.  Without paths, trails that end in one node and use
+    the same edges are one.
+    """
+    keys, paths = ["repo_id", "seed"], fields == ["path"]
+    ends = symbols.select("repo_id", F.col("qualified_name").alias("src"), "name", F.col("file_path").alias("file"), F.col("type").alias("kind"), (~F.coalesce("deleted", F.lit(False))).alias("_live"))
+    calls = identified(edges.select("repo_id", F.col("dst").alias("node"), "src"), "edge")
+    backward = cut(calls.join(ends, ["repo_id", "src"]))
+    at = match_seeds(seeds, live(symbols)).select(*keys, F.col("qualified_name").alias("node"), F.array(*["name"] * paths).cast("array<string>").alias("names"), F.array().cast("array<bigint>").alias("used"))
+    at = cut(at.dropDuplicates([*keys, "node"]))
+
+    def grown(at: DataFrame) -> DataFrame:
+        step = at.join(backward, ["repo_id", "node"]).filter(~F.array_contains("used", F.col("edge")))
+        used = F.array_append("used", F.col("edge"))
+        path = F.array_append("names", F.col("name")) if paths else F.col("names")
+        return step.select(*keys, F.col("src").alias("node"), path.alias("names"), (used if paths else F.array_sort(used)).alias("used"), "name", "file", "kind", "_live")
+
     out: DataFrame | None = None
     for depth in range(1, min(10, max(1, max_depth)) + 1):
-        step = at.join(backward, ["repo_id", "node"]).filter(~F.array_contains("used", F.col("edge")))
-        step = step.select("repo_id", "seed", F.col("src").alias("node"), "names", F.array_append("used", F.col("edge")).alias("used")).join(names, ["repo_id", "node"])
-        at = cut(step.select("repo_id", "seed", "node", F.array_append("names", F.col("name")).alias("names"), "used", F.lit(depth).alias("depth")))
-        out = at if out is None else out.unionByName(at)
-    return out
+        if depth > 1:  # at: the trails of the depth before, of seeds that lack rows
+            full = cut(out.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= limit).select(*keys))
+            at = grown(at.join(full, keys, "left_anti")).select(*keys, "node", "names", "used")
+            at = cut(at if paths else at.distinct())
+        new = cut(_first_distinct(grown(at).filter("_live").select(*keys, *(["names"] if paths else fields)), keys, ["names"] if paths else fields, limit)).withColumn("depth", F.lit(depth))
+        out = new if out is None else out.unionByName(new)
+    return first_n(out.withColumnRenamed("names", "path") if paths else out, keys, ["depth", *fields], limit)
 
 
 def blast_radius_all_depths(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 200) -> DataFrame:
     """As blast_radius, with a row for each depth at which a trail reaches a caller."""
-    info = live(symbols).select("repo_id", F.col("qualified_name").alias("node"), "name", F.col("file_path").alias("file"), F.col("type").alias("kind"))
-    rows = trails(seeds, symbols, edges, max_depth).select("repo_id", "seed", "node", "depth").join(info, ["repo_id", "node"]).select("repo_id", "seed", "name", "file", "kind", "depth").distinct()
-    return first_n(rows, ["repo_id", "seed"], ["depth", "name", "file", "kind"], limit)
+    return trails(seeds, symbols, edges, max_depth, limit, ["name", "file", "kind"])
 
 
 def impact_paths(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 2, limit: int = 50) -> DataFrame:
     """(repo_id, seed, path, depth): call chains from a seed to its live callers."""
-    ends = live(symbols).select("repo_id", F.col("qualified_name").alias("node"))
-    rows = trails(seeds, symbols, edges, max_depth).join(ends, ["repo_id", "node"], "left_semi").select("repo_id", "seed", F.col("names").alias("path"), "depth").distinct()
-    return first_n(rows, ["repo_id", "seed"], ["depth", "path"], limit)
+    return trails(seeds, symbols, edges, max_depth, limit, ["path"])
 
 
 def test_coverage(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 20, scope: str = "repo") -> DataFrame:
@@ -156,15 +176,20 @@ def impacted_symbols(first: DataFrame, radius: DataFrame, names: DataFrame, rows
     first: (commit, seed, ordinal); radius: (seed, row, depth); names: (row, label); all numbers, below `rows` and
     `ordinals`.  The order is packed into one number, of which partial aggregation keeps the least.
     """
-    both = first.join(radius, "seed").join(names, "row").select("commit", "label", "depth", "ordinal", "row")
+    least = radius.join(names, "row").groupBy("seed", "label").agg(F.min(F.struct("depth", "row")).alias("x")).select("seed", "label", "x.depth", "x.row")
+    least = cut(least)  # of each seed one row a label: what a commit of one seed has, without an aggregation
+    first = first.withColumn("_seeds", F.count("*").over(Window.partitionBy("commit")))
+    one = first.filter("_seeds = 1").join(least, "seed").select("commit", "label", "row", "depth", F.col("ordinal").cast("long").alias("ordinal"))
+    both = first.filter("_seeds > 1").join(least, "seed").select("commit", "label", "depth", "ordinal", "row")
     row_bits, ordinal_bits = max(1, int(rows).bit_length()), max(1, int(ordinals).bit_length())
     if row_bits + ordinal_bits + 4 > 63:  # too many for one number
         best = both.groupBy("commit", "label").agg(F.min(F.struct("depth", "ordinal", "row")).alias("x"))
-        return best.select("commit", "label", "x.row", "x.depth", "x.ordinal")
+        return one.unionByName(best.select("commit", "label", "x.row", "x.depth", "x.ordinal"))
     packed = F.shiftleft(F.col("depth").cast("long"), row_bits + ordinal_bits).bitwiseOR(F.shiftleft(F.col("ordinal").cast("long"), row_bits)).bitwiseOR(F.col("row"))
     best = both.groupBy("commit", "label").agg(F.min(packed).alias("x"))
     low = lambda bits: F.lit((1 << bits) - 1)
-    return best.select("commit", "label", F.col("x").bitwiseAND(low(row_bits)).alias("row"), F.shiftright("x", row_bits + ordinal_bits).cast("int").alias("depth"), F.shiftright("x", row_bits).bitwiseAND(low(ordinal_bits)).alias("ordinal"))
+    wide = best.select("commit", "label", F.col("x").bitwiseAND(low(row_bits)).alias("row"), F.shiftright("x", row_bits + ordinal_bits).cast("int").alias("depth"), F.shiftright("x", row_bits).bitwiseAND(low(ordinal_bits)).alias("ordinal"))
+    return one.unionByName(wide)
 
 
 def coverage_gaps(changed: DataFrame, impacted: DataFrame, covered: DataFrame, key: list[str]) -> DataFrame:

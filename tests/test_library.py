@@ -117,6 +117,27 @@ def test_radius_over_all_repositories_and_full_seeds(spark, code):
         assert [r[0] for r in rows(cut, "name")] == ["g0", "g1", "g2", "g3", "g4", "g5", "t", "tcase"][:n]
 
 
+def test_hub_above_the_limit(spark):
+    """A hub's list is cut off; a deleted node in the middle is followed; a million trails are never written."""
+    n = 1000
+    names = ["hub", "gone", "top", "low"] + [f"c{k:04d}" for k in range(n)] + [f"d{k:04d}" for k in range(n)]
+    s = spark.createDataFrame([("r", f"r.{x}", x, "function", 1, 2, "a.py", False, x == "gone") for x in names], SYMBOLS)
+    calls = [("low", "hub")] + [(f"c{k:04d}", "low") for k in range(n)] + [("gone", "hub"), ("top", "gone"), ("hub", "c0999")]
+    e = spark.createDataFrame([("r", f"r.{a}", f"r.{b}") for a, b in calls], "repo_id string, src string, dst string")
+    big = spark.range(n * n).selectExpr("'r' AS repo_id", f"format_string('r.d%04d', id % {n}) AS src", f"format_string('r.c%04d', id div {n}) AS dst")
+    seed = spark.createDataFrame([("r", "hub"), ("r", "low"), ("r", "c0999")], "repo_id string, seed string")
+    got = rows(impact.blast_radius(seed, s, e.unionByName(big), max_depth=3, limit=50), "seed", "depth", "name")
+    assert [x for x in got if x[0] == "hub"] == [("hub", 1, "low"), *[("hub", 2, f"c{k:04d}") for k in range(49)]]
+    assert [x for x in got if x[0] == "low"] == [("low", 1, f"c{k:04d}") for k in range(50)]
+    assert [x for x in got if x[0] == "c0999"] == [("c0999", 1, f"d{k:04d}") for k in range(50)]
+    some = rows(impact.blast_radius(seed.filter("seed = 'hub'"), s, e, limit=2000), "depth", "name")
+    assert len(some) == 2 + n + 1 and some[0] == (1, "low") and some[-2:] == [(2, "top"), (3, "hub")]
+    paths = rows(impact.impact_paths(seed.filter("seed <> 'hub'"), s, e.unionByName(big), 2, 50), "seed", "depth", "path")
+    assert paths == [("c0999", 1, ["c0999", f"d{k:04d}"]) for k in range(50)] + [("low", 1, ["low", f"c{k:04d}"]) for k in range(50)]
+    deep = rows(impact.blast_radius_all_depths(seed.filter("seed = 'hub'"), s, e.unionByName(big), 3, 1010), "depth", "name")
+    assert deep[:2] == [(1, "low"), (2, "c0000")] and len(deep) == 1010 and deep[-1] == (3, "d0007") and deep[1002 - 1] == (2, "top")
+
+
 def test_includes_and_failures(spark):
     text = 'import java.util.List;\r\nimport static a.B.c;\rimport x;\n  import a.b.*;\nimportant y;\n#include <z.h>\n'
     f = spark.createDataFrame([("r", "A.java", text), ("r", "a.h", '#include "q/w.h"\n # include <v>\nimport a.b;'), ("r", "a.py", "import os")], "repo_id string, path string, text string")
