@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +93,31 @@ def changed_files(current: DataFrame, snapshots: DataFrame, full: bool = False)
 
 
 def snapshot_commit_id(files: DataFrame) -> DataFrame:
-    """(repo_id, commit_id): SHA-1 over each repository's path:mtime lines in order of components."""
-    rows = F.sort_array(F.collect_list(F.struct(F.split("path", "/").alias("p"), F.concat_ws(":", "path", "mtime_ns").alias("line"))))
-    return files.groupBy("repo_id").agg(F.sha1(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").cast("binary")).alias("commit_id"))
+    """(repo_id, commit_id): SHA-1 over each repository's path:mtime lines in order of components.
+
+    A repository is one sequence for the hash, so a task works through it, sorted on disk and line by line: none of its
+    paths are held together.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo, digest = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([repo], pa.string()), pa.array([digest.hexdigest()])], ["repo_id", "commit_id"])
+
+        for b in batches:
+            for own, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if digest is not None and own == repo:
+                    digest.update(b"\n" + line.encode())
+                else:
+                    if digest is not None:
+                        yield done()
+                    repo, digest = own, hashlib.sha1(line.encode())
+        if digest is not None:
+            yield done()
+
+    lines = files.select("repo_id", F.split("path", "/").alias("_parts"), F.concat_ws(":", "path", "mtime_ns").alias("_line"))
+    return lines.repartition("repo_id").sortWithinPartitions("repo_id", "_parts", "_line").select("repo_id", "_line").mapInArrow(each, "repo_id string, commit_id string")
 
 
 def index_report(files: DataFrame, **parts: DataFrame) -> DataFrame:

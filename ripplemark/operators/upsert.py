@@ -15,6 +15,14 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], order: list[Colum
     return both.withColumn("_rank", F.row_number().over(own)).filter("_rank = 1").drop("_rank", "_new")
 
 
+def last_rows(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The last row of each key, by a column or else in the order in which the rows are read; with partial aggregation."""
+    if order is None:
+        return last_rows(rows.withColumn("_arrival", F.monotonically_increasing_id()), keys, "_arrival").drop("_arrival")
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last")).select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in rows.columns])
+
+
 def insert_absent(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Base, and delta rows whose key it lacks."""
     return base.unionByName(delta.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti"), allowMissingColumns=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -566,11 +567,21 @@ def g1_p1_index_job(spark, sf_dir):
     return got.filter("kind = 'method'").select("repo_id", "path", "name", "kind", "parent")
 
 
-@query(f"{_LATEST} SELECT DISTINCT repo_id, qualified_name FROM symbols WHERE (repo_id, file_path) NOT IN (SELECT (repo_id, file_path) FROM latest WHERE type = 'deleted')")
+@query(f"""{_LATEST}, every AS (SELECT repo_id, file_path, qualified_name FROM symbols UNION SELECT repo_id, file_path, repo_id || '.' || replace(substr(file_path, 1, length(file_path) - 3), '/', '.') || '.' || parent FROM symbols),
+ gone AS (SELECT repo_id, file_path FROM latest WHERE type = 'deleted'),
+ of_repo AS (SELECT repo_id, name, first(qualified_name ORDER BY string_split(file_path, '/'), pos) AS q FROM symbols GROUP BY repo_id, name),
+ of_file AS (SELECT repo_id, file_path, name, last(qualified_name ORDER BY pos) AS q FROM symbols GROUP BY repo_id, file_path, name),
+ made AS (SELECT DISTINCT c.repo_id, c.src, coalesce(f.q, r.q) AS dst FROM calls AS c JOIN symbols AS s ON s.repo_id = c.repo_id AND s.qualified_name = c.src JOIN symbols AS t ON t.repo_id = c.repo_id AND t.qualified_name = c.dst
+  LEFT JOIN of_file AS f ON f.repo_id = c.repo_id AND f.file_path = s.file_path AND f.name = t.name LEFT JOIN of_repo AS r ON r.repo_id = c.repo_id AND r.name = t.name)
+ SELECT 'symbols' AS label, repo_id, qualified_name AS a, CASE WHEN (repo_id, file_path) IN (SELECT (repo_id, file_path) FROM gone) THEN 'deleted' ELSE '' END AS b FROM every
+ UNION ALL SELECT 'files', repo_id, path, '' FROM files UNION ALL SELECT DISTINCT 'packages', repo_id, 'os', '' FROM files
+ UNION ALL SELECT 'calls', repo_id, src, dst FROM made UNION ALL SELECT 'contains', repo_id, file_path, qualified_name FROM every UNION ALL SELECT 'imports', repo_id, qualified_name, 'os' FROM every""")
 def g2_build_graph_job(spark, sf_dir):
+    """All rows of all node and edge tables."""
     parsed = jobs.index_job(_python_files(spark, sf_dir), spark.createDataFrame([], "repo_id string, path string, hash string"))
     got = jobs.build_graph_job(parsed, _latest_changes(spark, sf_dir))
-    return graph.live(got["symbols"]).filter("type = 'method'").select("repo_id", "qualified_name")
+    ends = {"symbols": ("qualified_name", F.when(F.col("deleted"), "deleted").otherwise("")), "files": ("path", F.lit("")), "packages": ("name", F.lit("")), "calls": ("src", F.col("dst")), "contains": ("path", F.col("qualified_name")), "imports": ("src", F.col("package"))}
+    return reduce(DataFrame.unionByName, [got[n].select(F.lit(n).alias("label"), "repo_id", F.col(a).alias("a"), b.alias("b")) for n, (a, b) in ends.items()])
 
 
 @query()

@@ -44,7 +44,14 @@ def test_read_payload(spark, tmp_path):
 def test_write_read_and_clear_graph(spark, tmp_path):
     t = {"files": spark.createDataFrame([("r", "a"), ("s", "b")], "repo_id string, path string")}
     S.write_graph(t, f"{tmp_path}/g")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "g" / "files").rglob("*.parquet")}
     S.write_graph({"files": spark.createDataFrame([("s", "c")], "repo_id string, path string")}, f"{tmp_path}/g")
+    left = {p: p.stat().st_mtime_ns for p in (tmp_path / "g" / "files").rglob("*.parquet")}
+    assert len(before) == 2 and len([p for p in before if left.get(p) == before[p]]) == 1  # the bucket of r keeps its file
+    assert rows(S.read_graph(spark, f"{tmp_path}/g", ["files", "none"], spark.createDataFrame([("s",)], "repo_id string"))["files"], "repo_id", "path") == [("s", "c")]
+    many = spark.range(2000).selectExpr("'p' AS path", "concat('repo', id) AS repo_id")
+    S.write_graph({"many": many}, f"{tmp_path}/g")
+    assert len(list((tmp_path / "g" / "many").glob("bucket=*"))) <= S.BUCKETS and S.read_graph(spark, f"{tmp_path}/g", ["many"])["many"].count() == 2000
     back = S.read_graph(spark, f"{tmp_path}/g", ["files"])
     assert rows(back["files"], "repo_id", "path") == [("r", "a"), ("s", "c")]
     assert rows(S.clear_graph(back, "r")["files"], "path") == [("c",)] and rows(S.clear_graph(back)["files"]) == []
@@ -192,6 +199,33 @@ def test_two_batches_equal_a_full_build(spark):
     assert rows(again["changes"], "commit_id", "status") == [("c0", "D"), ("c1", "D")] and rows(again["repos"]) == [("r", "n")]
 
 
+def test_last_row_of_repeated_keys(spark, tmp_path):
+    """Within one run and against an older graph the last row of a key stays; a stored graph keeps other repositories' files."""
+    src = spark.createDataFrame([("r", p, t.encode(), len(t)) for p, t in PY.items()], "repo_id string, path string, content binary, size long")
+    none = spark.createDataFrame([], "repo_id string, path string, hash string")
+    parsed = jobs.index_job(src, none)
+    changes = spark.createDataFrame([("r", "c0", "lib.py", x, t) for x, t in (("M", "modified"), ("D", "deleted"), ("A", "added"))], "repo_id string, commit_id string, file_path string, status string, type string").coalesce(1)
+    nodes = {"repos": spark.createDataFrame([("r", "zzz"), ("r", "aaa"), ("r", "mmm")], "id string, name string").coalesce(1), "commits": spark.createDataFrame([("r", "c0", "z"), ("r", "c0", "a")], "repo_id string, id string, mode string").coalesce(1)}
+    once = jobs.build_graph_job(parsed, changes, nodes=nodes)
+    twice = jobs.build_graph_job(parsed, changes, once, nodes)
+    for got in (once, twice):
+        assert rows(got["repos"]) == [("r", "mmm")] and rows(got["commits"]) == [("r", "c0", "a")] and rows(got["changes"], "status") == [("A",)]
+    path = f"{tmp_path}/g"
+    jobs.update_graph_job(spark, path, parsed, changes, nodes)
+    other = {k: v.withColumn("repo_id", F.lit("q")) for k, v in parsed.items() if "repo_id" in v.columns}
+    mine = {"repos": nodes["repos"].withColumn("id", F.lit("q")), "commits": nodes["commits"].withColumn("repo_id", F.lit("q"))}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "g").rglob("*.parquet")}
+    for _ in range(2):
+        jobs.update_graph_job(spark, path, other, changes.withColumn("repo_id", F.lit("q")), mine)
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    stored = S.read_graph(spark, path, jobs.STORED)
+    assert set(stored) == set(jobs.STORED)
+    for n in jobs.STORED:
+        key = "id" if n == "repos" else "repo_id"
+        assert rows(stored[n].filter(F.col(key) == "r"), *sorted(once[n].columns)) == rows(once[n], *sorted(once[n].columns)), n
+    assert stored["symbols"].filter("repo_id = 'q'").count() == once["symbols"].count()
+
+
 def test_prune_stale(spark):
     symbols = spark.createDataFrame([("r", "r.a", "a.py"), ("r", "r.b", "a.py"), ("r", "r.c", "c.py")], "repo_id string, qualified_name string, file_path string")
     edges = spark.createDataFrame([("r", "r.a", "r.c"), ("r", "r.b", "r.c"), ("r", "r.c", "r.a")], "repo_id string, src string, dst string")
@@ -241,6 +275,34 @@ def test_stream_runs_batches_again(spark, tmp_path):
     assert rows(stream.read_snapshot(spark, path, 1)) == [("r", "a", "h1", 1), ("r", "b", "h1", 1)]
 
 
+def test_stream_reads_the_buckets_of_a_batch(spark, tmp_path, monkeypatch):
+    """Equal versions are settled by hash in any order; a batch reads its own buckets; whole snapshots make older folders needless."""
+    path = f"file://{tmp_path}/out"
+    many = [("r", f"f{k}", "h", 1) for k in range(600)]
+    for k, v in enumerate([many, [("r", "f1", "hz", 1), ("r", "f2", "a", 1), ("r", "f3", "z", 2)], [("r", "f1", "ha", 1)], [("r", "f1", "hz", 2)]]):
+        spark.createDataFrame(v, stream.SNAPSHOT).coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+
+    def run(k, check="check"):
+        files = spark.readStream.schema(stream.SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in[0-{k}]")
+        stream.stream_index(files, path, f"file://{tmp_path}/{check}").awaitTermination()
+
+    for k in range(4):
+        run(k)
+    got = {r.path: (r.hash, r.version) for r in stream.read_snapshot(spark, path).collect()}
+    assert (got["f1"], got["f2"], got["f3"], len(got)) == (("hz", 1), ("h", 1), ("z", 2), 600)
+    part = lambda n: spark.read.schema(stream.SNAPSHOT).parquet(f"{tmp_path}/out/part-{n:012d}")
+    assert rows(part(1), "path") == [("f1",), ("f3",)] and part(2).count() == part(3).count() == 0
+    touched = [r[0] for r in spark.createDataFrame([("r", "f1"), ("r", "f3")], "repo_id string, path string").select(stream._bucket()).collect()]
+    own = stream.read_snapshot(spark, path, None, touched)
+    own.collect()
+    scans = own._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1:]
+    assert len(scans) >= 4 and all("bucket#" in x.split("], PushedFilters")[0] for x in scans) and own.count() < 50
+    monkeypatch.setattr(stream, "WHOLE_EVERY", 2)
+    run(3, "again")
+    assert {r.path: (r.hash, r.version) for r in stream.read_snapshot(spark, path).collect()} == got
+    assert sorted(p.name for p in (tmp_path / "out").glob("*-*")) == ["part-000000000002", "whole-000000000001", "whole-000000000003"]
+
+
 def test_upsert_takes_the_last(spark):
     base = spark.createDataFrame([(1, "a", 9), (2, "b", 9)], "k int, v string, o int")
     delta = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 0)], "k int, v string, o int")
