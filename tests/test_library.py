@@ -296,7 +296,8 @@ def test_stream_reads_the_buckets_of_a_batch(spark, tmp_path, monkeypatch):
     own = stream.read_snapshot(spark, path, None, touched)
     own.collect()
     scans = own._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1:]
-    assert len(scans) >= 4 and all("bucket#" in x.split("], PushedFilters")[0] for x in scans) and own.count() < 50
+    # folders of batches that changed nothing have no buckets and no rows
+    assert sum(x.startswith("[bucket#") for x in scans) >= 2 and all(x[:8] in ("[bucket#", "[], Push") for x in scans) and own.count() < 50
     monkeypatch.setattr(stream, "WHOLE_EVERY", 2)
     run(3, "again")
     assert {r.path: (r.hash, r.version) for r in stream.read_snapshot(spark, path).collect()} == got
