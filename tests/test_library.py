@@ -36,7 +36,8 @@ def test_read_payload(spark, tmp_path):
     assert rows(got["repos"]) == [("r", "n", "", "c")] and rows(got["commits"], "repo_id", "id", "mode") == [("r", "c", "")]
     assert rows(got["changes"]) == [("r", "c", "a.py", "modified", "M")]
     assert rows(got["files"]) == [("r", "a.py", "python", ""), ("r", "b.py", "", "")]
-    assert rows(got["symbols"]) == [("r", "r.a.f", "f", "", 3, 0, "a.py")]
+    assert rows(got["symbols"]) == [("r", "r.a.f", "f", "", 3, 0, "a.py", 0)]
+    assert rows(got["packages"]) == [("r", "os", True, True)] and rows(got["has_commit"]) == [("r", "c")] and rows(got["has_change"]) == [("r", "c", "a.py")] and rows(got["repo_contains"]) == [("r", "a.py"), ("r", "b.py")]
     assert rows(got["calls"], "src", "callee") == [("r.a.f", "g"), ("r.a.f", "h")] and rows(got["imports"], "src", "text") == [("r.a.f", "import os")]
     assert rows(got["contains"]) == [("r", "a.py", "r.a.f")]
 
@@ -226,6 +227,36 @@ def test_last_row_of_repeated_keys(spark, tmp_path):
     assert stored["symbols"].filter("repo_id = 'q'").count() == once["symbols"].count()
 
 
+def test_payloads_to_a_graph(spark, tmp_path):
+    """Two payloads: calls resolve within a payload or against the repository; stale symbols stay or go; the last of equal names stays."""
+
+    def payload(k, commit, files, changes=()):
+        results = [{"path": p, "language": "python", "symbols": [{"name": n, "qualified_name": f"r.{p[0]}.{n}", "type": "function", "start_line": i, "end_line": i + 1, "calls": c, "imports": ["import os", "from a.b import c as d", "no import"]} for i, (n, c) in enumerate(symbols)]} for p, symbols in files.items()]
+        (tmp_path / f"{k}.json").write_text(json.dumps({"repo_id": "r", "repo_name": "n", "commit_id": commit, "changes": [{"file_path": p, "status": "D", "type": "deleted"} for p in changes], "results": results}))
+        return S.read_payload(spark, f"{tmp_path}/{k}.json")
+
+    one = jobs.ingest_payload_job(payload(1, "c1", {"a.py": [("f", ["g()", "x.h", "none"]), ("g", []), ("g", ["f"])], "b.py": [("h", ["f"]), ("g", [])]}, ["b.py"]))
+    assert rows(one["calls"], "src", "dst") == [("r.a.f", "r.a.g"), ("r.a.f", "r.b.h"), ("r.a.g", "r.a.f"), ("r.b.h", "r.a.f")]
+    assert rows(one["symbols"], "qualified_name", "start_line", "deleted") == [("r.a.f", 0, False), ("r.a.g", 2, False), ("r.b.g", 1, True), ("r.b.h", 0, True)]
+    assert rows(one["packages"], "name") == [("a.b",), ("os",)] and one["imports"].count() == 8 and rows(one["has_change"]) == [("r", "c1", "b.py")]
+    second = payload(2, "c2", {"a.py": [("g", ["h"])]})
+    own, repo, pruned = (jobs.ingest_payload_job(second, one, **k) for k in ({}, {"scope": "repo"}, {"scope": "repo", "prune_stale": True}))
+    assert rows(own["calls"], "src", "dst") == rows(one["calls"], "src", "dst") and own["resolved"].filter("dst IS NULL").count() == 1
+    assert rows(repo["calls"], "src", "dst") == sorted([*rows(one["calls"], "src", "dst"), ("r.a.g", "r.b.h")])
+    assert rows(pruned["calls"], "src", "dst") == [("r.a.g", "r.b.h")] and rows(pruned["symbols"], "qualified_name") == [("r.a.g",), ("r.b.g",), ("r.b.h",)]
+    assert rows(pruned["contains"], "path", "qualified_name") == [("a.py", "r.a.g"), ("b.py", "r.b.g"), ("b.py", "r.b.h")] and rows(pruned["imports"].select("src").distinct()) == [("r.a.g",), ("r.b.g",), ("r.b.h",)]
+    assert rows(pruned["has_commit"], "commit_id") == [("c1",), ("c2",)] and rows(pruned["repos"], "latest_commit_id") == [("c2",)]
+
+
+def test_missing_fields_and_default_prompts(spark):
+    kinds = "changed_symbols array<struct<file string, symbol string, kind string, change_type string>>, impacted_symbols array<struct<name string, file string, kind string, depth int>>, score int, level string, reasons array<string>, explanation string, pr_description string, tests_to_run array<string>, test_gaps array<string>"
+    r = spark.createDataFrame([([(None, "f", None, "modified")], [("g", None, "function", 1)], 3, "low", [], "why", "", [], [])], kinds)
+    got = report.render_prompts(r.withColumn("markdown", report.render_markdown())).first()
+    assert "- **f** (?) in `?` — modified" in got.markdown and "- g (function) in `?` — depth 1" in got.markdown
+    assert got.explainer_prompt.startswith("A commit changed these symbols: f\nIt reaches 1 other symbols:\n  g (function) in ? — depth 1\n") and "all covered" in got.explainer_prompt
+    assert got.pr_writer_prompt.startswith("Commit by unknown on unknown: \n") and "Tests to run: none identified" in got.pr_writer_prompt
+
+
 def test_prune_stale(spark):
     symbols = spark.createDataFrame([("r", "r.a", "a.py"), ("r", "r.b", "a.py"), ("r", "r.c", "c.py")], "repo_id string, qualified_name string, file_path string")
     edges = spark.createDataFrame([("r", "r.a", "r.c"), ("r", "r.b", "r.c"), ("r", "r.c", "r.a")], "repo_id string, src string, dst string")
