@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .names import free_prefix
 
 CHUNK_BYTES = 5_000_000
 
@@ -112,6 +112,8 @@ def distinct_words(chunks: DataFrame, buckets: int, text: str = "text") -> DataF
     """(bucket, chunk, words): each chunk's distinct words, as compressed lists by bucket."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             for chunk, payload in zip(b.column(0), b.column(1), strict=True):
@@ -124,6 +126,8 @@ def distinct_words(chunks: DataFrame, buckets: int, text: str = "text") -> DataF
 
 def _listed(blob: bytes) -> list[str]:
     """The words of a list, each after its length, as a word may hold any sign."""
+    import zstandard
+
     data, out, at = zstandard.ZstdDecompressor().decompress(blob).decode(), [], 0
     while at < len(data):
         colon = data.index(":", at)
@@ -142,6 +146,8 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(shared.value, pattern).encode_ordinary
+        import zstandard
+
         squeeze = zstandard.ZstdCompressor(level=3).compress
         known: dict[str, bytes] = {}
         for b in batches:
@@ -172,6 +178,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     names = docs.columns
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        import zstandard
+
         table, texts = _texts(left.column("payload")[0].as_py(), text)
         lists = _dealt(texts, buckets)
         ids: dict[str, bytes] = {}
@@ -228,8 +236,11 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    done = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return done.withColumns({"n_tokens": (F.length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("ids", "decoded")
+    own = free_prefix(docs)
+    kept = {c: f"{own}{k}" for k, c in enumerate(docs.columns) if c.lower() in ("ids", "decoded")}  # a caller's columns of these names stay
+    done = decode(encode(docs.withColumnsRenamed(kept), ranks, public_tokenizers.PATTERN), ranks)
+    done = done.withColumns({"n_tokens": (F.length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("ids", "decoded")
+    return done.withColumnsRenamed({new: c for c, new in kept.items()})
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .names import free_prefix
 
 WINDOW = 13
 #: Windows broadcast at once: at most 100,000 of 13 hashes (10 MB) and their texts.
@@ -196,10 +197,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not contaminated, with their columns; one without doc_id is judged by itself."""
-    keyed, _ = W.with_keys(docs)
+    key = f"{free_prefix(docs)}_key"
+    keyed, _ = W.with_keys(docs, key=key)
     items = item_windows(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = _contaminated(find_windows(W.as_bytes(keyed, "row_key"), items)).filter("contaminated").select(F.col("doc_id").alias("row_key")).distinct()
-    return keyed.join(bad, "row_key", "left_anti").select(*docs.columns)
+    bad = _contaminated(find_windows(W.as_bytes(keyed, key), items)).filter("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

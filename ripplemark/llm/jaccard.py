@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .names import free_prefix
 from .substrings import doc_filter, split_docs
 
 WIDTH = 5
@@ -409,9 +410,10 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str = "text", width: in
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one of smallest doc_id (null last), with its columns."""
-    keyed, _ = W.with_keys(docs)
-    first = _near_duplicates(keyed, "row_key").filter("component_id = doc_id").select(F.col("doc_id").alias("row_key"))
-    return keyed.join(first, "row_key", "left_semi").select(*docs.columns)
+    key = f"{free_prefix(docs)}_key"
+    keyed, _ = W.with_keys(docs, key=key)
+    first = _near_duplicates(keyed, key).filter("component_id = doc_id").select(F.col("doc_id").alias(key))
+    return keyed.join(first, key, "left_semi").select(*docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

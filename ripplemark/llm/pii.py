@@ -237,23 +237,37 @@ def find_pii(docs: DataFrame, text: str = "text", least: float = 0.5, name: str
     return found.withColumn(name, spans).drop(own)
 
 
+#: Code points in a piece of a text, in which a place is found by counting from the piece's start.
+PIECE = 1024
+
+
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; n_chars, if there is one, follows the text."""
+    """The documents with every span replaced by its kind in brackets; n_chars, if there is one, follows the text.
+
+    Spans that begin within an earlier one make it longer.  A text is cut into pieces once, so that what stands between
+    two spans is found without counting from the text's start.
+    """
     own = free_prefix(docs)
-    spans, kept, new = f"{own}_spans", f"{own}_kept", f"{own}_text"
+    spans, order, ends, kept, pieces, new = (f"{own}_{x}" for x in ("spans", "order", "ends", "kept", "pieces", "text"))
+    some = F.size(spans) > 0
+    out = find_pii(docs, name=spans)
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-    # spans that begin within an earlier one make it longer
-    merged = F.aggregate(
-        by_start,
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<from:int,start:int,kind:string>>").alias("kept")),
-        lambda a, s: F.when(s["start"] >= a["end"], F.struct((-s["less"]).alias("end"), F.concat(a["kept"], F.array(F.struct(a["end"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))).alias("kept"))).otherwise(F.struct(F.greatest(a["end"], -s["less"]).alias("end"), a["kept"].alias("kept"))),
-    )
-    out = find_pii(docs, name=spans).withColumn(kept, F.when(F.size(spans) > 0, merged))
-    parts = F.transform(F.col(kept)["kept"], lambda s: F.concat(F.substring(F.col("text"), s["from"] + 1, s["start"] - s["from"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    text = F.concat(F.array_join(parts, ""), F.substring(F.col("text"), F.col(kept)["end"] + 1, F.length("text")))
-    out = out.withColumn(new, F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
+    out = out.withColumn(order, F.when(some, by_start)).withColumn(pieces, F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    out = out.withColumn(ends, F.when(some, _running(F.transform(order, lambda s: -s["less"]), F.greatest, 0)))
+    before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+    out = out.withColumn(kept, F.when(some, F.filter(F.arrays_zip(F.col(order).alias("s"), before.alias("from")), lambda z: z["s"]["start"] >= z["from"])))
+
+    def between(start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        one = F.substring(F.get(pieces, first), F.pmod(start, F.lit(PIECE)) + 1, end - start)
+        more = F.concat(F.substring(F.get(pieces, first), F.pmod(start, F.lit(PIECE)) + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), F.coalesce(F.left(F.get(pieces, last), F.pmod(end, F.lit(PIECE))), F.lit("")))
+        return F.coalesce(F.when(first == last, one).otherwise(more), F.lit(""))
+
+    parts = F.transform(kept, lambda z: F.concat(between(z["from"], z["s"]["start"]), F.lit("["), F.upper(z["s"]["kind"]), F.lit("]")))
+    tail = between(F.element_at(F.col(ends), -1), F.length("text"))
+    out = out.withColumn(new, F.when(some, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.withColumn("text", F.col(new)).select(*docs.columns)
 
 

@@ -172,17 +172,17 @@ def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_keys(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, int]:
-    """The rows with a row_key, and the greatest id: the key is the id or, where that is null, a number above all ids."""
+def with_keys(docs: DataFrame, doc_id: str = "doc_id", key: str = "row_key") -> tuple[DataFrame, int]:
+    """The rows with a key column, and the greatest id: the key is the id or, where that is null, a number above all ids."""
     ids = docs.select(docs[doc_id].cast("long").alias("id"))
     top, nulls = ids.agg(F.max("id"), F.count_if(F.col("id").isNull())).first()
     top = -1 if top is None else top
-    keyed = docs.withColumn("row_key", docs[doc_id].cast("long"))
+    keyed = docs.withColumn(key, docs[doc_id].cast("long"))
     if not nulls:
         return keyed, top
     # written, as the numbers would not be the same each time the rows are read
-    lost = cut(docs.filter(docs[doc_id].isNull()).withColumn("row_key", F.monotonically_increasing_id() + F.lit(top + 1)))
-    return keyed.filter("row_key IS NOT NULL").unionByName(lost), top
+    lost = cut(docs.filter(docs[doc_id].isNull()).withColumn(key, F.monotonically_increasing_id() + F.lit(top + 1)))
+    return keyed.filter(F.col(key).isNotNull()).unionByName(lost), top
 
 
 def without_keys(key: Column, top: int) -> Column:

@@ -442,3 +442,27 @@ def test_sql_of_rules(spark):
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
     q = c.sql(rules.OP9_SQL)
     assert {tuple(r) for r in q.fetchall()} == {tuple(r) for r in QUERIES["op9_quality_rules"](spark, DATA).select(*q.columns).collect()}
+
+
+def test_stages_keep_columns_of_any_names(spark, tmp_path):
+    """Columns named like the stages' own, repeated rows, null ids and an empty table."""
+    rows = [(1, BASE, 77, b"a", "x"), (2, BASE, 88, b"b", "y"), (3, "one two three", 99, None, None), (3, "one two three", 99, None, None), (None, "quite another text", 5, b"c", "z")]
+    shape = "doc_id long, text string, row_key int, ids binary, decoded string"
+    df = spark.createDataFrame(rows, shape)
+    spark.createDataFrame([(1, "never there at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage, want in ((jaccard.keep_first, [77, 99, 99, 5]), (decontam.decontaminate, [77, 88, 99, 99, 5]), (pii.mask_pii, [77, 88, 99, 99, 5]), (bpe.tokenise, [77, 88, 99, 99, 5])):
+        got = stage(spark, df, str(tmp_path))
+        assert got.columns[:5] == df.columns or set(df.columns) <= set(got.columns)
+        assert sorted(r.row_key for r in got.collect()) == sorted(want), stage
+        assert {r.row_key: (None if r.ids is None else bytes(r.ids), r.decoded) for r in got.collect()}[77] == (b"a", "x")
+        assert stage(spark, spark.createDataFrame([], shape), str(tmp_path)).count() == 0
+
+
+def test_masking_many_spans(spark):
+    """Twenty thousand spans in one text, and spans at and over the ends of its pieces."""
+    text = "é mail a.b@c.de " * 20_000
+    edge = "x" * (pii.PIECE - 4) + " a.b@c.de " + "y" * (2 * pii.PIECE - 7) + " 10.2.3.4"
+    docs = spark.createDataFrame([(1, text), (2, edge), (3, "10.2.3.4"), (4, None), (5, "")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.mask_pii(spark, docs, "").collect()}
+    assert got[1] == "é mail [EMAIL] " * 20_000 and got[2] == edge.replace("a.b@c.de", "[EMAIL]").replace("10.2.3.4", "[IP]")
+    assert (got[3], got[4], got[5]) == ("[IP]", None, "")
