@@ -53,19 +53,55 @@ def ignore_regex(pattern: str) -> tuple[str, bool] | None:
     return f"^{'' if anchored else '(?:.*/)?'}{out}{'/.*' if folder else '(?:/.*)?'}$", negated
 
 
+#: Rules that tasks hold; more are joined with the paths.
+RULES = 100_000
+
+
+def _last_match(rules: list[tuple[int, str]]) -> list[tuple]:
+    """(matcher, negated) of a repository's rules, the last first."""
+    made = [ignore_regex(p) for _, p in sorted(rules, key=lambda r: r[0], reverse=True)]
+    return [(re.compile(x[0][1:-1]).fullmatch, x[1]) for x in made if x]
+
+
 def apply_ignore_patterns(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that the ignore rules (repo_id, ordinal, pattern) of their repository keep; the last match wins.
 
-    Each distinct pattern is made a regex once, in the executors.
+    With at most RULES rules, each path is tried on its repository's rules where it stands, from the last one back to
+    the first that matches: no shuffle, and no row for a path and a rule.  With more, paths and rules are joined.
     """
+    known = rules.filter("pattern IS NOT NULL").select("repo_id", "ordinal", "pattern")
+    few = known.limit(RULES + 1).collect()
+    if len(few) > RULES:
+        return _joined_patterns(files, known)
+    of: dict[str, list[tuple[int, str]]] = {}
+    for r in few:
+        of.setdefault(r["repo_id"], []).append((r["ordinal"], r["pattern"]))
+    shared = files.sparkSession.sparkContext.broadcast(of)
+
+    @F.pandas_udf("boolean")
+    def kept(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        made: dict[str, list[tuple]] = {}
+        for repos, paths in parts:
+            out = []
+            for repo, path in zip(repos, paths, strict=True):
+                if repo not in made:
+                    made[repo] = _last_match(shared.value.get(repo, []))
+                out.append(next((back for match, back in made[repo] if path is not None and match(path)), True))
+            yield pd.Series(out, dtype=bool)
+
+    return files.filter(kept("repo_id", "path"))
+
+
+def _joined_patterns(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """apply_ignore_patterns by a join; each distinct pattern is made a regex once, in the executors."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             made = [(p, *x) for p in df["pattern"] if (x := ignore_regex(p))]
             yield pd.DataFrame(made, columns=["pattern", "regex", "negated"])
 
-    regexes = rules.filter("pattern IS NOT NULL").select("pattern").distinct().mapInPandas(each, "pattern string, regex string, negated boolean")
-    table = rules.select("repo_id", "ordinal", "pattern").join(regexes, "pattern")
+    regexes = rules.select("pattern").distinct().mapInPandas(each, "pattern string, regex string, negated boolean")
+    table = rules.join(regexes, "pattern")
     hits = files.select("repo_id", "path").distinct().join(table, "repo_id").filter(F.expr("path RLIKE regex"))
     gone = hits.groupBy("repo_id", "path").agg(F.max_by("negated", "ordinal").alias("back")).filter("NOT back")
     return files.join(gone.select("repo_id", "path"), ["repo_id", "path"], "left_anti")

@@ -272,10 +272,14 @@ def test_touch_registry(spark):
         assert got == {"r": (n, "2024-01-02 03:04:05"), "s": (2, "None")}
 
 
-def test_ignore_rules_of_each_repository(spark):
+@pytest.mark.parametrize("most", [100_000, 2])  # where the paths stand, and by a join
+def test_ignore_rules_of_each_repository(spark, monkeypatch, most):
+    monkeypatch.setattr(scan, "RULES", most)
     f = spark.createDataFrame([(r, p) for r in "rs" for p in ("a.log", "keep.log", "src/a.log", "build/x/y.py", "doc/a.txt", "b!.py")], "repo_id string, path string")
     rules = [("r", 0, "*.log"), ("r", 1, "!keep.log"), ("r", 2, "/build/"), ("r", 3, "# none"), ("r", 4, None), ("s", 0, "doc/**"), ("s", 1, "[a-b]!.py")]
-    got = rows(scan.apply_ignore_patterns(f, spark.createDataFrame(rules, "repo_id string, ordinal int, pattern string")))
+    out = scan.apply_ignore_patterns(f, spark.createDataFrame(rules, "repo_id string, ordinal int, pattern string"))
+    assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == (most == 2)
+    got = rows(out)
     assert got == [("r", "b!.py"), ("r", "doc/a.txt"), ("r", "keep.log"), ("s", "a.log"), ("s", "build/x/y.py"), ("s", "keep.log"), ("s", "src/a.log")]
 
 
