@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .impact import first_n
+from .upsert import cut
 
 # Words of a question that name no symbol.
 STOP_WORDS = """what does this that how many the are for has have here there where which with from into line
@@ -44,10 +45,12 @@ def _containing(hints: DataFrame, table: DataFrame, text: str) -> DataFrame:
 
 def symbol_context(hints: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
     """(hint, lines): each hint's symbols with what they call, and who calls them."""
-    some = _containing(hints, symbols, "qualified_name").select("hint", "repo_id", "qualified_name", "name", "type", "start_line", "file_path")
+    some = cut(_containing(hints, symbols, "qualified_name").select("hint", "repo_id", "qualified_name", "name", "type", "start_line", "file_path"))
+    picked = cut(first_n(some, ["hint"], ["qualified_name"], limit))
     names = symbols.select("repo_id", F.col("qualified_name").alias("dst"), F.col("name").alias("callee"))
-    calls = edges.join(names, ["repo_id", "dst"]).groupBy("repo_id", F.col("src").alias("qualified_name")).agg(F.array_join(F.sort_array(F.collect_set("callee")), ", ").alias("calls"))
-    own = first_n(some, ["hint"], ["qualified_name"], limit).join(calls, ["repo_id", "qualified_name"], "left")
+    mine = picked.select("repo_id", F.col("qualified_name").alias("src")).distinct()  # callees are gathered for these alone
+    calls = edges.join(mine, ["repo_id", "src"], "left_semi").join(names, ["repo_id", "dst"]).groupBy("repo_id", F.col("src").alias("qualified_name")).agg(F.array_join(F.sort_array(F.collect_set("callee")), ", ").alias("calls"))
+    own = picked.join(calls, ["repo_id", "qualified_name"], "left")
     line = F.concat(F.lit("Symbol: "), F.col("name"), F.lit(" ("), F.col("type"), F.lit(") in "), F.col("file_path"), F.lit(" at line "), F.col("start_line").cast("string"), F.coalesce(F.concat(F.lit("\n  Calls: "), F.col("calls")), F.lit("")))
     out = own.groupBy("hint").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("qualified_name", line.alias("t")))), lambda x: x["t"]), "\n").alias("own"))
     who = symbols.select("repo_id", F.col("qualified_name").alias("src"), F.concat(F.col("name"), F.lit(" ("), F.col("type"), F.lit(") in "), F.col("file_path")).alias("who"))
