@@ -318,20 +318,22 @@ def _next(cells: DataFrame, percent: int) -> DataFrame:
 
 
 def _chains(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows (doc_id, n, sig, hot) that have a holder of their sig within linking size, with a chain number.
+    """The rows (doc_id, n, sig, hot) that have a holder of their sig within linking size, with a chain number and the chain's holders.
 
     Holders in order of size: those of which the next is too large to link are apart from it and all
     after it.  For hot sigs the order is found over distinct sizes, so that no task sorts all holders.
     """
+    whole = Window.partitionBy("sig", "chain")
+
     def chained(df: DataFrame, own, alone: str) -> DataFrame:
         out = df.withColumn("less", F.lag("n").over(own)).withColumn("more", F.lead("n").over(own))
         out = out.withColumn("chain", F.sum(F.when(100 * F.col("less") >= percent * F.col("n"), 0).otherwise(1)).over(own))
         return out.filter(f"NOT ({alone}) OR 100 * less >= {percent} * n OR 100 * n >= {percent} * more").drop("less", "more")
 
-    cold = chained(rows.filter("NOT hot"), Window.partitionBy("sig").orderBy("n", "doc_id"), "true")
+    cold = chained(rows.filter("NOT hot"), Window.partitionBy("sig").orderBy("n", "doc_id"), "true").withColumn("docs", F.count("*").over(whole))
     hot = rows.filter("hot")
     sizes = chained(hot.groupBy("sig", "n").agg(F.count("*").alias("docs")), Window.partitionBy("sig").orderBy("n"), "docs = 1")
-    return cold.unionByName(hot.join(sizes.drop("docs"), ["sig", "n"]))
+    return cold.unionByName(hot.join(sizes.withColumn("docs", F.sum("docs").over(whole)), ["sig", "n"]))
 
 
 def links(docs: DataFrame, info: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -340,7 +342,11 @@ def links(docs: DataFrame, info: DataFrame, width: int = WIDTH, percent: int = P
     sig = sig.select("doc_id", "n", "sig", (F.col("at") >= F.col("rare")).alias("hot"))
     # a set that links shares so many shingles with one other set, so at least so many with any
     least = 1 + F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100)
-    enough = W.cut(_chains(sig, percent).withColumn("shared", F.count("*").over(Window.partitionBy("doc_id"))).filter(F.col("shared") >= least).drop("shared"))
+    # all but the last least - 1 of its shared shingles are enough, in one order of all: after the first that two linked
+    # sets share both have least - 1 more.  So each document stays out of its largest groups
+    own = Window.partitionBy("doc_id")
+    placed = _chains(sig, percent).withColumn("shared", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("docs", "sig", "chain")))
+    enough = W.cut(placed.filter(F.col("place") <= F.col("shared") - least + 1).drop("shared", "place", "docs"))
     group = Window.partitionBy("sig", "chain")
     cold = enough.filter("NOT hot").select("doc_id", "n", F.min("doc_id").over(group).alias("region"), F.max("doc_id").over(group).alias("last")).filter("last > region").drop("last")
     least_of = W.cut(enough.filter("hot").groupBy("sig", "chain").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("last")).filter("last > region").drop("last"))
