@@ -1,6 +1,7 @@
 """Operators on small tables with expected rows: what no SQL covers, and runs in several steps."""
 
 import json
+import random
 
 import pytest
 
@@ -181,6 +182,44 @@ def test_python_parser():
     assert len(parse.parse_python(b"def f():\n" + b"    g(h)\n" * 20000, "x.py")[2]) == 20000
 
 
+def test_call_owners():
+    """The sweep against a search of all symbols, with overlapping ranges, equal names, ties and calls out of order."""
+    rng = random.Random(3)
+    for _ in range(200):
+        symbols = [(k, rng.choice("abc"), "function", a := rng.randrange(30), a + rng.randrange(12), rng.choice([None, "P"])) for k in range(rng.randrange(12))]
+        calls = [(k, rng.choice(["a", "b", "c", "<module>"]), "x", rng.randrange(45)) for k in range(rng.randrange(25))]
+        held = [[(s[4] - s[3], s[0]) for s in symbols if s[1] == c[1] and s[3] <= c[3] <= s[4]] for c in calls]
+        assert parse.call_owners(symbols, calls) == [min(h)[1] if h else None for h in held]
+
+
+def test_calls_are_owned_while_parsed(spark):
+    """Calls put to symbols in the parse batch make the graph that the join makes; no join or window by call is planned."""
+    src = spark.createDataFrame([("r", p, t.encode(), len(t)) for p, t in PY.items()], "repo_id string, path string, content binary, size long")
+    changes = spark.createDataFrame([], "repo_id string, commit_id string, file_path string, status string, type string")
+    parsed = jobs.index_job(src, spark.createDataFrame([], "repo_id string, path string, hash string"))
+    got = jobs.build_graph_job(parsed, changes)
+    want = jobs.build_graph_job(parsed | {"calls": parsed["calls"].drop("owner", "parent")}, changes)
+    for name in ("calls", "resolved", "calls_by_symbol"):
+        assert rows(got[name], *sorted(got[name].columns)) == rows(want[name], *sorted(want[name].columns)) != [], name
+
+
+def test_packed_files(spark):
+    """Few large files among many small ones: partitions of about equal bytes, each file once, the same whenever it is done."""
+    sizes = [(f"r{k % 3}", f"f{k}.py", 5_000) for k in range(2_000)] + [("r0", f"big{k}.py", 512_000) for k in range(6)] + [("r0", "none.py", None), ("r0", "f0.py", 5_000), (None, None, 10)]
+    src = spark.createDataFrame(sizes, "repo_id string, path string, size long").withColumn("content", F.lit(b"x"))
+
+    def dealt(df, *more):
+        return {r.p: r.n for r in parse.packed(df, *more).groupBy(F.spark_partition_id().alias("p")).agg(F.sum("size").alias("n")).collect()}
+
+    first = dealt(src)
+    held = sorted(first.values())
+    assert len(held) == 8 and held[-1] < 2 * held[4] and sum(held) == sum(n or 0 for _, _, n in sizes) and dealt(src.repartition(5)) == first
+    many = dealt(src, 100_000)
+    assert len(many) > 100 and sorted(many.values())[-1] < 900_000
+    assert sorted(map(str, parse.packed(src).select("repo_id", "path", "size").collect())) == sorted(map(str, src.select("repo_id", "path", "size").collect()))
+    assert parse.packed(src.filter("false")).count() == 0 and parse.packed(src.drop("size")).count() == len(sizes)
+
+
 def test_two_batches_equal_a_full_build(spark):
     """Nodes and edges grow batch by batch to those of one build; keys of every node table."""
     src = spark.createDataFrame([("r", p, t.encode(), len(t)) for p, t in PY.items()], "repo_id string, path string, content binary, size long")
