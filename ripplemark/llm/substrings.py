@@ -36,6 +36,8 @@ from . import words as W
 WINDOW, ANCHOR, STEP = 50, 24, 10
 SHARD_SLICES = 8_000
 HOT = 2_000
+#: A key with over one row in SHARE of all (fewer than SHARE keys) is dealt over SALTS tasks where it is joined.
+SHARE, SALTS = 1_000, 32
 #: Bits of the Bloom filter that is broadcast (8 MB).
 FILTER_BITS = 1 << 26
 
@@ -258,22 +260,42 @@ def _words_of_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.join(lists, "doc_id").select("doc_id", "text", "slices").mapInArrow(W.tidy(each), "anchor bigint, doc_id bigint, start int, words binary, hot boolean")
 
 
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, n) of the keys that hold over one row in SHARE of all; fewer than SHARE, so safe to broadcast."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return W.cut(counts.filter(F.col(n) > max(SALTS, total // SHARE)).select(key, n))
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame, *by: str) -> DataFrame:
+    """rows join facts (one row for each of the keys), where a key of hot is dealt over SALTS tasks by the columns `by`."""
+    key = hot.columns[0]
+    mark = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = rows.join(mark, key, "left").withColumn("_salt", salt.cast("long")).drop("_hot")
+    right = facts.join(mark, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start, n): runs of n windows, the first at word `start`, that an earlier document has."""
     found = occurrences(docs)
-    several = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    shared = W.cut(found.join(several, "anchor"))
-    distinct = shared.groupBy("anchor", "slice").agg(F.min("doc_id").alias("first"))
+    several = W.cut(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).filter("lo < hi").select("anchor", "rows"))
+    hot = hot_keys(several, "anchor", "rows")
+    shared = W.cut(salted_join(found, several.select("anchor"), ["anchor"], hot, "doc_id", "start"))
+    distinct = W.cut(shared.groupBy("anchor", "slice").agg(F.min("doc_id").alias("first")))
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("slices"))
-    placed = W.cut(shared.join(distinct, ["anchor", "slice"]).join(per_anchor, "anchor").select("anchor", "doc_id", "start", "n", "first", "slices"))
+    # a slice's facts are put together by slice first, so that occurrences are joined once
+    facts = salted_join(distinct, per_anchor, ["anchor"], hot, "slice")
+    placed = W.cut(salted_join(shared, facts, ["anchor", "slice"], hot, "doc_id", "start").select("anchor", "doc_id", "start", "n", "first", "slices"))
     later = placed.filter("doc_id > first").select("doc_id", "start", "n")
     wanted = placed.filter("doc_id = first AND slices > 1").withColumn("hot", F.col("slices") > HOT).select("anchor", "doc_id", "start", "n", "hot")
     pieces = W.cut(_words_of_slices(docs, wanted))
     shards = max(1, -(-pieces.filter("NOT hot").count() // SHARD_SLICES))
     searched = search_shards(pieces.filter("NOT hot").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "start", "words"))
-    hot = pieces.filter("hot").select("words", "doc_id", "start")
-    least = hot.groupBy("words").agg(F.min("doc_id").alias("first"))
-    split = hot.join(least, "words").filter("doc_id > first").select("doc_id", "start", F.lit(1).alias("n"))
+    windows = pieces.filter("hot").select("words", "doc_id", "start")
+    least = W.cut(windows.groupBy("words").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
+    split = salted_join(windows, least.select("words", "first"), ["words"], hot_keys(least, "words", "rows"), "doc_id", "start").filter("doc_id > first").select("doc_id", "start", F.lit(1).alias("n"))
     return W.cut(later.unionByName(searched).unionByName(split))
 
 

@@ -258,9 +258,12 @@ def test_pii_recall_of_planted_spans(spark):
         assert sum(k in x for x in mine) >= 54 if k != "plain" else sum(map(bool, mine)) <= 6, k
 
 
-@pytest.mark.parametrize("hot", [2000, 0])
-def test_substrings(docs, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "share", "salts"), [(2000, 1000, 32), (0, 10**9, 2)])
+def test_substrings(docs, monkeypatch, hot, share, salts):
+    """As built, and with all anchors split by content and nearly all keys salted."""
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SHARE", share)
+    monkeypatch.setattr(substrings, "SALTS", salts)
     words = [SPACED.findall(t) for _, t in loop(TEXTS)]
     first = {}
     for k, w in enumerate(words):
