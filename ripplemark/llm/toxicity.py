@@ -8,14 +8,17 @@ unsure as those it will meet.  Marking words are found by their share of toxic r
 Spark over the training rows by fold: the models of a fold use words that the other folds give.
 
 At most TRAIN_ROWS labelled rows (those whose ids hash lowest) train; of their words only the
-marking ones, at most VOCABULARY, come to the driver.  Null and empty texts have no words and get
-the models' base probabilities.  With labels of one class only, nothing is toxic.  Repeated
-documents each get their row.
+marking ones come to the driver, which the training rows bound: each is held by LEAST_ROWS toxic
+ones or more.  Null and empty texts have no words and get the models' base probabilities.  With
+labels of one class only, nothing is toxic.  Repeated documents each get their row, also those
+without doc_id, for which `held_out` is null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,6 @@ FOLDS = 4
 #: and of the training rows that hold it this share is toxic.
 LEAST_ROWS, LEAST_SHARE, LEAST_PURITY = 5, 0.015, 0.75
 LEAST_SCORE = 0.5
-#: Marking words at most, those that most toxic rows hold.
-VOCABULARY = 20_000
 
 
 def _sets(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -149,25 +150,22 @@ def fit(docs: DataFrame, train: DataFrame) -> Chain:
     y, fold = at.column("y").to_numpy().astype(np.int64), at.column("fold").to_numpy()
     each = rows.select("row", "y", "fold", F.explode("words").alias("word"))
     by_fold = [F.count_if((F.col("fold") == k) & (F.col("y") == v) if v else F.col("fold") == k).alias(f"{'bad' if v else 'seen'}{k}") for v in (1, 0) for k in range(FOLDS)]
-    # words that mark rows of all folds, or of all but one, have at least so many toxic rows
-    least = max(LEAST_ROWS, LEAST_SHARE * (y.sum() - max([0, *(y[fold == k].sum() for k in range(FOLDS))])))
-    bad = sum(F.col(f"bad{k}") for k in range(FOLDS))
-    vocabulary = W.cut(each.groupBy("word").agg(*by_fold).filter(bad >= float(least)).orderBy(bad.desc(), "word").limit(VOCABULARY))
-    table = vocabulary.orderBy("word").toArrow()
+    # a word stays if it marks the rows of all folds, or of all folds but one
+    marks = []
+    for without in range(-1, FOLDS):
+        bad, seen = (sum(F.col(f"{x}{k}") for k in range(FOLDS) if k != without) for x in ("bad", "seen"))
+        marks.append((bad >= float(max(LEAST_ROWS, LEAST_SHARE * y[fold != without].sum()))) & (bad >= LEAST_PURITY * seen))
+    vocabulary = W.cut(each.groupBy("word").agg(*by_fold).filter(reduce(or_, marks)))
+    table = vocabulary.toArrow()
     counts = [np.stack([table.column(f"{x}{k}").to_numpy() for k in range(FOLDS)], 1) for x in ("bad", "seen")]
-    parts = [np.arange(FOLDS) != k for k in range(-1, FOLDS)]
-    use = np.zeros(table.num_rows, bool)
-    for p, k in zip(parts, range(-1, FOLDS), strict=True):
-        use |= marking(counts[0][:, p].sum(1), counts[1][:, p].sum(1), int(y[fold != k].sum()))
-    words = table.column("word").to_numpy()[use]
-    named = docs.sparkSession.createDataFrame([(int(w),) for w in words], "word bigint")
-    held = each.join(F.broadcast(named), "word").select("row", "word").toArrow()
+    held = each.join(vocabulary.select("word"), "word").select("row", "word").toArrow()
     row = np.searchsorted(at.column("row").to_numpy(), held.column("row").to_numpy())
-    order = np.argsort(words.view(np.uint64))
-    words = words.view(np.uint64)[order]
+    words = table.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words = words[order]
     col = np.searchsorted(words, held.column("word").to_numpy().view(np.uint64))
     back = np.lexsort([col, row])
-    return Chain(row[back], col[back], words, y.astype(float), fold, *[c[use][order] for c in counts])
+    return Chain(row[back], col[back], words, y.astype(float), fold, *[c[order] for c in counts])
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
