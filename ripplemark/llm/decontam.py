@@ -6,7 +6,8 @@ is enough to find it: the window's rarest word by document frequency over the wh
 Document words that equal a prefix token give candidates; length and positional bounds (the
 window must fit around that word) drop most of them, and the rest are verified word by word over
 the item-sized window.  The items are worked through in blocks of a fixed number of windows, so
-what is broadcast has a bound.  Texts are never shuffled; if there are several blocks, they are
+what is broadcast has a bound: a window that many items have is one, and its items are joined to
+the documents found by its number.  Texts are never shuffled; if there are several blocks, they are
 written once with a row key, and the blocks' hits of a row are put together by it.
 
 Null or empty texts have no words and no hits; repeated items count by item_id; items without
@@ -30,7 +31,7 @@ WINDOW = 13
 #: Windows broadcast at once: at most 100,000 of 13 hashes (10 MB) and their texts.
 BLOCK_WINDOWS = 100_000
 
-_MATCHES = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+_MATCHES = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("windows", pa.list_(pa.int64()))])
 
 
 def _words_of(data: np.ndarray, offs: np.ndarray):
@@ -83,22 +84,12 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 
 
 class _Index:
-    """The windows of a block by their prefix tokens."""
+    """The windows of a block (their numbers, hashes and words) by their prefix tokens."""
 
     def __init__(self, rows: list, frequency: dict[int, int]):
-        known: dict[tuple, int] = {}
-        self.items: list[list[str]] = []
-        self.words: list[bytes] = []
-        grams = []
-        for r in rows:
-            key = bytes(r["words"])
-            if key not in known:
-                known[key] = len(known)
-                self.items.append([])
-                self.words.append(key)
-                grams.append(r["hashes"])
-            if r["item_id"] is not None:
-                self.items[known[key]].append(r["item_id"])
+        self.number = np.array([r["window"] for r in rows], np.int64)
+        self.words = [bytes(r["words"]) for r in rows]
+        grams = [r["hashes"] for r in rows]
         self.size = np.array([len(g) for g in grams], np.int64)
         self.grams = np.zeros((len(grams), max(map(len, grams))), np.int64)
         offset = np.zeros(len(grams), np.int64)
@@ -131,11 +122,16 @@ class _Index:
         return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
+def numbered_windows(windows: DataFrame) -> DataFrame:
+    """(window, words, hashes): a row for each distinct window of item_windows(), however many items have it."""
+    return W.cut(windows.groupBy("words").agg(F.first("hashes").alias("hashes")).withColumn("window", F.monotonically_increasing_id()))
+
+
 def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per row its key, its number of words, the hit words' positions and the items with windows in it.
+    """Per row its key, its number of words, the hit words' positions and the numbers of the windows in it.
 
     docs: doc_id and text as as_bytes() gives them, and a row_key if there is one that stays the
-    same when docs is read again; windows: of item_windows().
+    same when docs is read again; windows: of numbered_windows().
     """
     spark = docs.sparkSession
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
@@ -145,7 +141,7 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     out = None
     for k in range(blocks):
         mine = windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
-        rows = mine.collect()  # bounded: a block holds about BLOCK_WINDOWS windows
+        rows = mine.collect()  # bounded: each window is one row, and a block holds about BLOCK_WINDOWS of them
         vocab = np.unique(np.array([x for r in rows for x in r["hashes"]], np.int64).view(np.uint64))
         seen = {r["word"]: r["n"] for r in word_counts(docs, vocab).collect()} if len(vocab) else {}
         shared = spark.sparkContext.broadcast(_Index(rows, seen) if rows else None)
@@ -157,7 +153,7 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 for lo, hi, data, offs in W.slices(batch.column(1)):
                     data, starts, ends, firsts, h = _words_of(data, offs)
                     hits: list[list[int]] = [[] for _ in range(hi - lo)]
-                    items: list[list[str]] = [[] for _ in range(hi - lo)]
+                    numbers: list[list[int]] = [[] for _ in range(hi - lo)]
                     if index is not None and len(h):
                         row, start = index.matches(h, firsts)
                         same = np.zeros(len(row), bool)
@@ -173,14 +169,14 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
                         for d in np.unique(owner[hit]):
                             hits[d] = (hit[owner[hit] == d] - firsts[d]).tolist()
                         for d, r in np.unique(np.stack([owner[start], row], 1), axis=0) if len(row) else ():
-                            items[d] += index.items[r]
-                    yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(firsts)), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], schema=_MATCHES)
+                            numbers[d].append(index.number[r])
+                    yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(firsts)), pa.array(hits, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int64()))], schema=_MATCHES)
 
-        part = docs.mapInArrow(W.tidy(each), "row_key bigint, doc_id bigint, n_words bigint, hits array<int>, items array<string>")
+        part = docs.mapInArrow(W.tidy(each), "row_key bigint, doc_id bigint, n_words bigint, hits array<int>, windows array<bigint>")
         # the first block gives every row, the others those with hits
         out = part if out is None else out.unionByName(part.filter(F.size("hits") > 0))
     if blocks > 1:
-        whole = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")]
+        whole = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "windows")]
         out = out.groupBy("row_key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *whole)
     return out
 
@@ -192,14 +188,20 @@ def _contaminated(found: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, hits (word positions), items (item ids), n_hit, contaminated."""
-    return _contaminated(find_windows(W.as_bytes(docs, doc_id, text), item_windows(items, window=window)).drop("row_key"))
+    every = W.cut(item_windows(items, window=window))
+    windows = numbered_windows(every)
+    found = W.cut(find_windows(W.as_bytes(docs, doc_id, text), windows))
+    holders = every.filter("item_id IS NOT NULL").select("words", "item_id").distinct().join(windows, "words").select("window", "item_id")
+    items_of = found.select("row_key", F.explode("windows").alias("window")).join(holders, "window").groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    whole = found.join(items_of, "row_key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return _contaminated(whole.select("doc_id", "n_words", "hits", "items"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not contaminated, with their columns; one without doc_id is judged by itself."""
     key = f"{free_prefix(docs)}_key"
     keyed, _ = W.with_keys(docs, key=key)
-    items = item_windows(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = numbered_windows(item_windows(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     bad = _contaminated(find_windows(W.as_bytes(keyed, key), items)).filter("contaminated").select(F.col("doc_id").alias(key)).distinct()
     return keyed.join(bad, key, "left_anti").select(*docs.columns)
 

@@ -411,6 +411,44 @@ def test_chain():
     assert np.mean((p[:600, 2] >= 0.5)[(toxic == 1) & marked]) > 0.95 and np.mean((p[:600, 2] >= 0.5)[toxic == 0]) < 0.05 and p[-1, 2] == p[-2, 2] < 0.5
 
 
+def test_marking_words_by_fold(spark):
+    """fit() takes the words that mark the toxic rows of all folds, or of all but one, and no others; however many there are."""
+    rng = np.random.default_rng(5)
+    rows, toxic = [], {}
+    for k in range(400):
+        toxic[k] = int(k % 4 == 0)
+        own = [f"zz{j}a" for j in range(30) if rng.random() < (0.4 if toxic[k] else 0.02 * (j % 7))]
+        rows.append((k, " ".join([*own, *(f"plain{j}" for j in rng.integers(0, 50, 8))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = spark.createDataFrame(list(toxic.items()), "doc_id long, y int")
+    fold = {r[0]: r[1] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {toxicity.FOLDS})").collect()}
+    holds = {}
+    for k, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        for h in toxicity._sets(data, np.array([0, len(data)]))[0].tolist():
+            holds.setdefault(h, set()).add(k)
+    want = set()
+    for h, ids in holds.items():
+        for without in range(-1, toxicity.FOLDS):
+            bad, seen = sum(toxic[k] for k in ids if fold[k] != without), sum(fold[k] != without for k in ids)
+            if bad >= max(toxicity.LEAST_ROWS, toxicity.LEAST_SHARE * sum(y for k, y in toxic.items() if fold[k] != without)) and bad >= toxicity.LEAST_PURITY * seen:
+                want.add(h)
+    chain = toxicity.fit(docs, train)
+    assert chain.words.tolist() == sorted(want) and 5 < len(want) < len(holds)
+
+
+def test_windows_of_many_items(spark, monkeypatch):
+    """A window that all items have is one row of the index; each item is found all the same."""
+    items = [(k, BASE) for k in range(300)] + [(None, BASE)]
+    windows = decontam.numbered_windows(decontam.item_windows(spark.createDataFrame(items, "item_id long, text string")))
+    assert windows.count() == len({tuple(BASE.split()[k : k + 13]) for k in range(len(BASE.split()) - 12)})
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 40)
+    docs = spark.createDataFrame([(1, BASE), (1, BASE), (2, "none of it")], "doc_id long, text string")
+    got = sorted((r.doc_id, len(r["items"]), r.n_hit) for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    n = len(BASE.split())
+    assert got == [(1, 300, n), (1, 300, n), (2, 0, 0)]
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_empty(spark, tmp_path, name):
     for t in ("documents", "benchmark", "labels"):
