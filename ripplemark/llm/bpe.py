@@ -9,7 +9,8 @@ distinct words, which are dealt by their hash into buckets; the global shuffle b
 equal words together, each distinct word is encoded once, and the ids go back to the chunks that
 use the word; each chunk then puts its texts together again by position.  Shuffled are the texts
 once, and each chunk's distinct words there and ids back, as compressed lists, not every
-occurrence.  Decoding joins ids with the token-byte table (as many rows as the vocabulary).
+occurrence.  Each list goes with its checksum: where a chunk was packed anew after an executor was
+lost, with other rows, its words are encoded by the chunk itself.  Decoding joins ids with the token-byte table (as many rows as the vocabulary).
 
 Null texts count as empty and have no ids.  Repeated rows are encoded each; further columns are
 kept, but for one named like the output.  A word of any length is encoded whole.  The output
@@ -108,8 +109,13 @@ def _dealt(texts: list[str | None], buckets: int) -> list[list[str]]:
     return out
 
 
+def _stamp(words: list[str]) -> int:
+    """A checksum of a list of words and their order."""
+    return zlib.crc32("\0".join(words).encode())
+
+
 def distinct_words(chunks: DataFrame, buckets: int, text: str = "text") -> DataFrame:
-    """(bucket, chunk, words): each chunk's distinct words, as compressed lists by bucket."""
+    """(bucket, chunk, stamp, words): each chunk's distinct words, as compressed lists by bucket, and the lists' checksums."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -119,9 +125,9 @@ def distinct_words(chunks: DataFrame, buckets: int, text: str = "text") -> DataF
             for chunk, payload in zip(b.column(0), b.column(1), strict=True):
                 lists = _dealt(_texts(payload.as_py(), text)[1], buckets)
                 some = [k for k, x in enumerate(lists) if x]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk.as_py()] * len(some), pa.int64()), pa.array([squeeze("\0".join([f"{len(w)}:{w}" for w in lists[k]]).encode()) for k in some], pa.binary())], ["bucket", "chunk", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk.as_py()] * len(some), pa.int64()), pa.array([_stamp(lists[k]) for k in some], pa.int64()), pa.array([squeeze("\0".join([f"{len(w)}:{w}" for w in lists[k]]).encode()) for k in some], pa.binary())], ["bucket", "chunk", "stamp", "words"])
 
-    return chunks.mapInArrow(W.tidy(each), "bucket int, chunk bigint, words binary")
+    return chunks.mapInArrow(W.tidy(each), "bucket int, chunk bigint, stamp bigint, words binary")
 
 
 def _listed(blob: bytes) -> list[str]:
@@ -137,8 +143,13 @@ def _listed(blob: bytes) -> list[str]:
     return out
 
 
+def _ids_of(encode, word: str) -> bytes:
+    """The ids of a word of _dealt()."""
+    return np.array(encode(word[1:] if word[:1] == "\n" else " " + word), "<u4").tobytes()
+
+
 def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(chunk, bucket, ids): the ids of each list's words; within a bucket each word is encoded once.
+    """(chunk, bucket, stamp, ids): the ids of each list's words; within a bucket each word is encoded once.
 
     A task holds the words of its buckets: a fixed part of the corpus's distinct words.
     """
@@ -152,17 +163,17 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
         known: dict[str, bytes] = {}
         for b in batches:
             out = []
-            for blob in b.column(2):
+            for blob in b.column(3):
                 ids = []
                 for w in _listed(blob.as_py()):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = np.array(encode(w[1:] if w[:1] == "\n" else " " + w), "<u4").tobytes()
+                        got = known[w] = _ids_of(encode, w)
                     ids.append(got)
                 out.append(squeeze(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids)))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(out, pa.binary()), pa.array([len(_) for _ in out], pa.int32())], ["chunk", "bucket", "ids", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2), pa.array(out, pa.binary())], ["chunk", "bucket", "stamp", "ids"])
 
-    return words.mapInArrow(W.tidy(each), "chunk bigint, bucket int, ids binary, size int").drop("size")
+    return words.mapInArrow(W.tidy(each), "chunk bigint, bucket int, stamp bigint, ids binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -176,6 +187,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     back = encode_words(words, ranks, pattern)
     schema = docs.withColumn("ids", F.lit(b"")).schema
     names = docs.columns
+    shared = spark.sparkContext.broadcast(ranks)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
@@ -183,7 +195,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         table, texts = _texts(left.column("payload")[0].as_py(), text)
         lists = _dealt(texts, buckets)
         ids: dict[str, bytes] = {}
-        for k, blob in zip(right.column("bucket").to_pylist(), right.column("ids"), strict=True):
+        for k, stamp, blob in zip(right.column("bucket").to_pylist(), right.column("stamp").to_pylist(), right.column("ids"), strict=True):
+            if stamp != _stamp(lists[k]):
+                continue
             data = zstandard.ZstdDecompressor().decompress(blob.as_py())
             n = len(lists[k])
             ends = (np.cumsum(np.frombuffer(data, "<u4", n)) * 4 + 4 * n).tolist()
@@ -191,6 +205,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             for w, end in zip(lists[k], ends, strict=True):
                 ids[w] = data[at:end]
                 at = end
+        # a chunk that was packed anew, from rows in another order, may have lists that no ids were sent for
+        lost = [w for x in lists for w in x if w not in ids] if len(ids) < sum(map(len, lists)) else []
+        if lost:
+            encode = _encoder(shared.value, pattern).encode_ordinary
+            ids |= {w: _ids_of(encode, w) for w in lost}
         out = []
         for t in texts:
             if t:

@@ -9,7 +9,10 @@ tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from ripplemark.llm import bpe  # noqa: E402
+from ripplemark.llm.bpe import tokenise  # noqa: E402
+from ripplemark.llm.pii import mask_pii  # noqa: E402
 from ripplemark.llm.queries import QUERIES  # noqa: E402
+from ripplemark.llm.toxicity import keep_clean  # noqa: E402
 
 BASE = " ".join(f"w{i % 97}x{i % 31}" for i in range(120))
 LONG = " ".join(f"n{k}" for k in range(60_000)) + " " + BASE
@@ -63,3 +66,42 @@ def test_substrings(spark, folder):
 def test_rules(spark, folder):
     want = Counter((k, len(t.split()), sum(map(len, t.split())), 0, 0, 0, len(t.split()) < 50) for k, t in ROWS)
     assert found(spark, folder, "op9_quality_rules", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
+
+
+@pytest.fixture(scope="module")
+def labels(spark, folder):
+    spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 4)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+@pytest.mark.parametrize(("name", "columns"), [("op7_language_id", ("lang_pred", "score")), ("op8_quality", ("score", "predicted")), ("op10_toxicity", ("p_toxic", "toxic"))])
+def test_models(spark, labels, name, columns):
+    """Each row is judged, equal texts alike; without an id `held_out` is null."""
+    got = QUERIES[name](spark, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(k for k, _ in ROWS)
+    assert all((r.held_out is None) == (r.doc_id is None) for r in got)
+    text = dict(ROWS)
+    assert len({(text[r.doc_id], *(r[c] for c in columns)) for r in got}) == len({t for _, t in ROWS})
+
+
+def test_output(spark, folder):
+    """Repeated rows follow one another; a row without an id comes somewhere, and no id is lost."""
+    got = QUERIES["op4_token_output"](spark, folder).collect()
+    size = {}
+    for r in got:
+        size.setdefault(r.doc_id, set()).add(r.n_tokens)
+    assert Counter(r.doc_id for r in got) == Counter(k for k, _ in ROWS) and all(len(n) == 1 for n in size.values()) and size[None] == size[2]
+    end = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == end
+        end += r.n_tokens
+
+
+def test_stages(spark, labels):
+    """Very long, repeated and id-less rows and columns of any names through the stages: what is kept is kept whole."""
+    docs = spark.read.parquet(f"{labels}/documents.parquet")
+    for stage in (keep_clean, mask_pii, tokenise):
+        out = stage(spark, docs, labels)
+        assert out.columns[: len(docs.columns)] == docs.columns or set(docs.columns) <= set(out.columns)
+        kept = Counter((r.doc_id, r.text, *(r[c] for c in NAMES)) for r in out.collect())
+        assert kept <= Counter((k, t, *range(len(NAMES))) for k, t in ROWS) and (stage is keep_clean or sum(kept.values()) == len(ROWS))

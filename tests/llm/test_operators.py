@@ -62,6 +62,16 @@ def test_bpe(docs):
         assert bytes(got[k].decoded) == t.encode() and got[k].text == TEXTS[k] and got[k].chunk == "more"
 
 
+def test_bpe_of_chunks_packed_anew(docs, monkeypatch):
+    """Lists that don't fit the chunk they come back to are not used: all the ids are as before."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    whole = {r.doc_id: bytes(r.ids) for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()}
+    sent = bpe.encode_words
+    # every second list has the checksum of another, and some are lost
+    monkeypatch.setattr(bpe, "encode_words", lambda *a: sent(*a).filter("bucket % 3 <> 0").selectExpr("chunk", "bucket", "IF(bucket % 2 = 0, stamp + 1, stamp) AS stamp", "ids"))
+    assert {r.doc_id: bytes(r.ids) for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()} == whole
+
+
 def test_decontamination(spark, docs):
     items = [(1, " ".join(BASE.split()[20:45])), (2, "ONE"), (3, None), (4, ""), (5, "c d"), (5, "c d"), (6, "never there at all")]
     got = {r.doc_id: r for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
