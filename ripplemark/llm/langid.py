@@ -7,7 +7,8 @@ a share, and the sets left when those of the smallest share are dropped one afte
 mixture must beat the best single language by its parameters' cost).
 
 Null texts and texts without letters are `und` with score 0.  Rows with null lang do not train;
-with nothing to learn from, every text is `und`.  Repeated documents each get their row.
+with nothing to learn from, every text is `und`.  Repeated documents each get their row, also those
+without doc_id, which do not train and for which the query's `held_out` is null.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ is set on rows kept out of the fit.
 
 Null and empty texts are scored as documents without words.  Rows without a label do not train;
 with fewer than two classes the score is the share of label 1 (0.5 without rows).
+Repeated documents each get their row, also those without doc_id, for which the query's `held_out`
+is null; further columns are ignored.
 """
 
 from __future__ import annotations
