@@ -7,7 +7,7 @@ import pytest
 
 from ripplemark.functions import paths as P
 from ripplemark.operators import context, graph, impact, report, scan
-from ripplemark.operators.upsert import upsert
+from ripplemark.operators.upsert import cut, upsert
 from ripplemark.plans import jobs
 from ripplemark.sources import files as S
 from ripplemark.sources import parse
@@ -387,3 +387,25 @@ def test_upsert_takes_the_last(spark):
 
 def test_content_hash(spark):
     assert rows(spark.createDataFrame([(b"",)], "c binary").select(P.content_hash(F.col("c"))))[0][0].startswith("e3b0c442")
+
+
+def test_commits_share_profiles(spark, monkeypatch):
+    """What a change reaches is written once for each list of symbols, not for each commit; order and ordinals stay each commit's own."""
+    code = spark.createDataFrame([("r", f"r.m{k}.f{k}", f"f{k}", f"m{k}.py", "function", False, False) for k in range(40)], "repo_id string, qualified_name string, name string, file_path string, type string, deleted boolean, is_test boolean")
+    calls = spark.createDataFrame([("r", f"r.m{k}.f{k}", f"r.m{d}.f{d}") for d in (0, 1) for k in range(2, 40)], "repo_id string, src string, dst string")
+    change = [("r", f"c{c:02d}", n, f"m{k}.py", f"f{k}", "function", "modified", 1, 1) for c in range(50) for n, k in ([(3, 0), (7, 1)] if c % 2 else [(2, 1), (9, 0)])]
+    changed = spark.createDataFrame(change, "repo_id string, commit_id string, ordinal long, file string, symbol string, kind string, change_type string, start_line int, end_line int")
+    sizes = []
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(jobs, "cut", counted)
+    got = jobs.analyze_changes(changed, code, calls)
+    assert max(sizes) <= 100, sizes  # the changes; it was 50 * 38 rows
+    impacted = got["impacted"].collect()
+    assert len(impacted) == 50 * 38 and {(r.commit_id, r.ordinal) for r in impacted} == {(f"c{c:02d}", 3 if c % 2 else 2) for c in range(50)}
+    r = {x.commit_id: x for x in got["reports"].collect()}
+    assert len(r) == 50 and r["c01"].test_gaps[:2] == ["m0.py::f0", "m1.py::f1"] and r["c02"].test_gaps[:2] == ["m1.py::f1", "m0.py::f0"] and len(r["c02"].test_gaps) == 40
