@@ -6,6 +6,7 @@ import random
 import pytest
 
 from ripplemark.functions import paths as P
+from ripplemark.operators import changes as C
 from ripplemark.operators import context, graph, impact, report, scan
 from ripplemark.operators.upsert import cut, upsert
 from ripplemark.plans import jobs
@@ -409,3 +410,21 @@ def test_commits_share_profiles(spark, monkeypatch):
     assert len(impacted) == 50 * 38 and {(r.commit_id, r.ordinal) for r in impacted} == {(f"c{c:02d}", 3 if c % 2 else 2) for c in range(50)}
     r = {x.commit_id: x for x in got["reports"].collect()}
     assert len(r) == 50 and r["c01"].test_gaps[:2] == ["m0.py::f0", "m1.py::f1"] and r["c02"].test_gaps[:2] == ["m1.py::f1", "m0.py::f0"] and len(r["c02"].test_gaps) == 40
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patches_are_read_where_they_stand(spark):
+    """No window and no shuffle; definitions by side, hunks without any, lines before a header, odd headers and breaks."""
+    patch = "\n".join([
+        "noise", "diff --git a/x.py b/x.py", "--- a/x.py", "+++ b/x.py", "+def early(a):", "@@ -1,2 +5,3 @@ def z():", " def same(a):", "-def f(a):", "+class K:", "+def f(a, b):", "+def f(c):", "-def gone(a):", "--- x", "@@ -9 +bad @@", "+x = 1", "@@ -20 +30 @@", " y", "@@ -40 +50 @@", "-z = 2",
+        "diff --git a/d/T.java b/d/T.java\r", "@@ -1 +2 @@\r", "+public int go(int a) {\r", "+class T {", "diff --git nothing", "+def no(a):",
+    ])
+    hunks = C.read_patches(spark.createDataFrame([("r", "c", patch), ("r", "d", None)], "repo_id string, commit_id string, patch string"))
+    found = C.changed_symbols(hunks)
+    assert "Exchange" not in plan_of(found) and "Window" not in plan_of(found)
+    assert rows(found, "hunk.block", "hunk.at", "symbol", "kind", "change_type", "start_line") == sorted([
+        (1, 0, "early", "function", "added", None), (1, 1, "K", "class", "added", 5), (1, 1, "f", "function", "modified", 6), (1, 1, "gone", "function", "deleted", 6), (1, 2, "x", "unknown", "added", None), (1, 4, "x", "unknown", "deleted", 50), (2, 1, "T", "class", "added", 3), (2, 1, "go", "method", "added", 2),
+    ], key=lambda r: r[:3])
