@@ -29,6 +29,8 @@ PARSED = f"repo_id string, path string, language string, hash string, symbols ar
 
 #: Bytes of source parsed in one task, and what a file counts beyond its bytes.
 PART_BYTES, FILE_BYTES = 16_000_000, 500
+#: Bytes of source whose parsed rows a task holds before it hands them on.
+HELD_BYTES = 1_000_000
 #: Hashed cells whose bytes are summed; their sums are broadcast.
 CELLS = 65_536
 
@@ -157,6 +159,32 @@ def packed(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     return dealt.withColumn("_part", F.least(own, F.lit(parts - 1).cast("int"))).repartitionById(parts, "_part").select(*files.columns)
 
 
+def parsed_frames(frames: Iterator[pd.DataFrame], parsers: dict[str, Parser]) -> Iterator[pd.DataFrame]:
+    """PARSED rows of files (repo_id, path, language, hash, content), handed on as soon as HELD_BYTES of source are parsed."""
+
+    def made(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["repo_id", "path", "language", "hash", "symbols", "imports", "calls", "error"])
+
+    for df in frames:
+        rows, held = [], 0
+        for r in df.itertuples(index=False):
+            try:
+                symbols, imports, calls = parsers[r.language](bytes(r.content), r.path)
+                owned = [(*c, k, None if k is None else symbols[k][5]) for c, k in zip(calls, call_owners(symbols, calls), strict=True)]
+                lists = (symbols, imports, owned)
+                keys = (("pos", "name", "kind", "line", "end_line", "parent"), ("pos", "module", "name", "alias"), ("pos", "caller", "callee", "line", "owner", "parent"))
+                got = [[dict(zip(k, x, strict=True)) for x in part] for k, part in zip(keys, lists, strict=True)]
+                rows.append((r.repo_id, r.path, r.language, r.hash, *got, None))
+            except Exception as e:  # a parser may fail in any way on foreign text; the row says how
+                rows.append((r.repo_id, r.path, r.language, r.hash, None, None, None, f"{type(e).__name__}: {e}"))
+            held += len(r.content or b"") + FILE_BYTES
+            if held >= HELD_BYTES:
+                yield made(rows)
+                rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+
 def parse_sources(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """One row for each file (repo_id, path, content) of a language with a parser: PARSED.
 
@@ -167,19 +195,7 @@ def parse_sources(files: DataFrame, parsers: dict[str, Parser] | None = None) ->
     use = files.withColumn("language", detect_language(F.col("path"))).filter(F.col("language").isin(list(parsers)))
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            rows = []
-            for r in df.itertuples(index=False):
-                try:
-                    symbols, imports, calls = parsers[r.language](bytes(r.content), r.path)
-                    owned = [(*c, k, None if k is None else symbols[k][5]) for c, k in zip(calls, call_owners(symbols, calls), strict=True)]
-                    lists = (symbols, imports, owned)
-                    keys = (("pos", "name", "kind", "line", "end_line", "parent"), ("pos", "module", "name", "alias"), ("pos", "caller", "callee", "line", "owner", "parent"))
-                    got = [[dict(zip(k, x, strict=True)) for x in part] for k, part in zip(keys, lists, strict=True)]
-                    rows.append((r.repo_id, r.path, r.language, r.hash, *got, None))
-                except Exception as e:  # a parser may fail in any way on foreign text; the row says how
-                    rows.append((r.repo_id, r.path, r.language, r.hash, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["repo_id", "path", "language", "hash", "symbols", "imports", "calls", "error"])
+        return parsed_frames(frames, parsers)
 
     return packed(use).select("repo_id", "path", "language", F.sha2("content", 256).alias("hash"), "content").mapInPandas(each, PARSED)
 

@@ -428,3 +428,13 @@ def test_patches_are_read_where_they_stand(spark):
     assert rows(found, "hunk.block", "hunk.at", "symbol", "kind", "change_type", "start_line") == sorted([
         (1, 0, "early", "function", "added", None), (1, 1, "K", "class", "added", 5), (1, 1, "f", "function", "modified", 6), (1, 1, "gone", "function", "deleted", 6), (1, 2, "x", "unknown", "added", None), (1, 4, "x", "unknown", "deleted", 50), (2, 1, "T", "class", "added", 3), (2, 1, "go", "method", "added", 2),
     ], key=lambda r: r[:3])
+
+
+def test_parsed_files_are_handed_on(monkeypatch):
+    """A batch of many files is not held parsed as a whole."""
+    import pandas as pd
+
+    df = pd.DataFrame([("r", f"{k}.py", "python", "h", b"def f():\n    g()\n" * 20_000) for k in range(6)], columns=["repo_id", "path", "language", "hash", "content"])
+    got = list(parse.parsed_frames(iter([df]), parse.PARSERS))
+    assert [len(g) for g in got] == [3, 3] and [p for g in got for p in g["path"]] == [f"{k}.py" for k in range(6)]
+    assert all(len(x) == 20_000 for g in got for x in g["calls"])
