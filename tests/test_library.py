@@ -438,3 +438,16 @@ def test_parsed_files_are_handed_on(monkeypatch):
     got = list(parse.parsed_frames(iter([df]), parse.PARSERS))
     assert [len(g) for g in got] == [3, 3] and [p for g in got for p in g["path"]] == [f"{k}.py" for k in range(6)]
     assert all(len(x) == 20_000 for g in got for x in g["calls"])
+
+
+def test_full_seeds_are_not_followed(spark, monkeypatch):
+    """A seed with `limit` direct callers has its list; only other seeds' callers are looked for further."""
+    asked = []
+    real = impact.caller_lists
+    monkeypatch.setattr(impact, "caller_lists", lambda start, *a: asked.extend(r.seed for r in start.select("seed").collect()) or real(start, *a))
+    code = [("r", f"r.{n}", n, f"{n}.py", "function", False) for n in ["hot", "cold", "u0", *(f"h{k}" for k in range(5))]]
+    symbols = spark.createDataFrame(code, "repo_id string, qualified_name string, name string, file_path string, type string, deleted boolean")
+    edges = spark.createDataFrame([("r", f"r.h{k}", "r.hot") for k in range(5)] + [("r", "r.u0", "r.cold"), ("r", "r.h1", "r.u0"), ("r", "r.u0", "r.h0")], "repo_id string, src string, dst string")
+    got = impact.blast_radius(spark.createDataFrame([("r", "hot"), ("r", "cold")], "repo_id string, seed string"), symbols, edges, max_depth=3, limit=4)
+    assert rows(got, "seed", "name", "depth") == [("cold", "h1", 2), ("cold", "u0", 1), *[("hot", f"h{k}", 1) for k in range(4)]]
+    assert set(asked) == {"cold"}
