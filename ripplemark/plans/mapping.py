@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.numbers import identified
 
 #: Model table -> its SQL over the test tables and the model tables before it.
 MODEL = {
@@ -43,12 +46,36 @@ MODEL = {
 }
 
 
+#: Rows that a task sorts and makes distinct at once, however large the tables are.
+TASK_ROWS = 500_000
+
+
+def _changes(lineitem: DataFrame, orders: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The rows of MODEL["changes"], made distinct as numbers where orders and lines meet, before their strings are made.
+
+    A DISTINCT of the strings, nearly all of which differ, held them in each task and shuffled them once more.
+    """
+    spark = lineitem.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, lineitem.count() // TASK_ROWS + 1)  # counted from the footers
+    files = identified(symbols.select("repo_id", "file_path"), "file")
+    s, f = symbols.alias("s"), files.alias("f")
+    at = s.join(f, F.expr("s.repo_id <=> f.repo_id AND s.file_path <=> f.file_path")).select("part_key", "file")
+    touched = lineitem.select("l_orderkey", "l_partkey").join(at, F.col("l_partkey") == F.col("part_key")).select("l_orderkey", "file").repartition(n, "l_orderkey")
+    status = F.expr("CASE o_orderstatus WHEN 'F' THEN 'M' WHEN 'O' THEN 'A' ELSE 'D' END").alias("status")
+    known = orders.select("o_orderkey", status).repartition(n, "o_orderkey")
+    rows = known.join(touched, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "status", "file").distinct()
+    kind = F.expr("CASE status WHEN 'M' THEN 'modified' WHEN 'A' THEN 'added' ELSE 'deleted' END").alias("type")
+    return rows.join(files, "file").select("repo_id", F.sha1(F.col("o_orderkey").cast("string")).alias("commit_id"), "file_path", "status", kind)
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The model tables, derived in Spark."""
     made: dict[str, DataFrame] = {}
     raw = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem", "orders", "documents")}
 
     def get(name: str) -> DataFrame:
+        if name == "changes" and name not in made:
+            made[name] = _changes(raw["lineitem"], raw["orders"], get("symbols"))
         if name not in made:
             sql = MODEL[name]
             frames = {}
