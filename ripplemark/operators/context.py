@@ -31,20 +31,22 @@ def hint_table(hints: DataFrame, column: str) -> DataFrame:
 def _containing(hints: DataFrame, table: DataFrame, text: str) -> DataFrame:
     """Rows whose text contains a hint, as an equi-join by the hint's three letters that fewest texts hold.
 
-    Hints shorter than three letters can't occur: words have three, files four at least.
+    Hints shorter than three letters can't occur: words have three, files four at least.  The hints with their letters
+    are written first: where their table is small, rows meet it where they stand, and only rows that hold a hint's
+    letters are kept, in place of a shuffle of each row by each of its letters.
     """
 
     def of(df: DataFrame, column: str) -> DataFrame:
         return df.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(column) - 2)), lambda i: F.substring(F.col(column), i, F.lit(3))))))
 
-    grams = of(table, text)
-    rows = grams.groupBy("gram").agg(F.count("*").alias("rows"))
-    keyed = of(hints, "hint").join(rows, "gram", "left").groupBy("hint").agg(F.min_by("gram", F.struct(F.coalesce("rows", F.lit(0)), "gram")).alias("gram"))
-    return grams.join(keyed, "gram").filter(F.col(text).contains(F.col("hint"))).drop("gram")
+    rows = of(table.select(text), text).groupBy("gram").agg(F.count("*").alias("rows"))
+    keyed = cut(of(hints, "hint").join(rows, "gram", "left").groupBy("hint").agg(F.min_by("gram", F.struct(F.coalesce("rows", F.lit(0)), "gram")).alias("gram")))
+    return of(table, text).join(keyed, "gram").filter(F.col(text).contains(F.col("hint"))).drop("gram")
 
 
 def symbol_context(hints: DataFrame, symbols: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
     """(hint, lines): each hint's symbols with what they call, and who calls them."""
+    symbols, edges = cut(symbols.repartition("qualified_name")), cut(edges)  # both are read several times; equal parts, as letters take long
     some = cut(_containing(hints, symbols, "qualified_name").select("hint", "repo_id", "qualified_name", "name", "type", "start_line", "file_path"))
     picked = cut(first_n(some, ["hint"], ["qualified_name"], limit))
     names = symbols.select("repo_id", F.col("qualified_name").alias("dst"), F.col("name").alias("callee"))

@@ -330,6 +330,14 @@ def test_contains_by_rarest_letters(spark):
     assert got == sorted([("get", f"get_{k}") for k in range(5)] + [("get", "xget"), ("get_3", "get_3"), ("xge", "xget")])
 
 
+def test_contains_without_shuffling_the_table(spark):
+    """Few hints: the table's rows meet them where they stand."""
+    t = spark.createDataFrame([(f"get_{k}",) for k in range(5)], "q string")
+    out = context._containing(spark.createDataFrame([("get",), ("t_3",)], "hint string"), t, "q")
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out, "hint", "q") == sorted([("get", f"get_{k}") for k in range(5)] + [("t_3", "get_3")])
+
+
 def test_stream_runs_batches_again(spark, tmp_path):
     """Late older versions change nothing; a batch run again after it was written gives the same snapshot; whole snapshots."""
     path = f"file://{tmp_path}/out"
