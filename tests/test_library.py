@@ -114,6 +114,17 @@ def test_answer_context(spark, code):
     assert got[4] == "No data found in graph for: no/such.py" and got[5] == got[6] == "No symbol context provided."
 
 
+def test_answer_context_reads_what_is_written(spark, code, monkeypatch):
+    """Symbols and edges, which several parts read, are worked out once."""
+    s, e = code
+    seen, real = [], impact.blast_radius
+    monkeypatch.setattr(impact, "blast_radius", lambda seeds, *graph, **more: seen.extend(graph) or real(seeds, *graph, **more))
+    files = s.select("repo_id", F.col("file_path").alias("path")).distinct()
+    imports = spark.createDataFrame([("r", "a/f.py", "os")], "repo_id string, path string, module string")
+    jobs.answer_context_job(spark.createDataFrame([(1, "g1", "f")], "question_id long, question string, symbol_hint string"), s, e, files, imports)
+    assert len(seen) == 2 and all(df.inputFiles() for df in seen)
+
+
 def test_radius_over_all_repositories_and_full_seeds(spark, code):
     s, e = code
     other = s.withColumn("repo_id", F.lit("z")).withColumn("file_path", F.concat(F.lit("z/"), "file_path"))
