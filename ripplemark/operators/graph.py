@@ -59,13 +59,28 @@ def imports_edges(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     return symbols.select("repo_id", "file_path", F.col("qualified_name").alias("src")).distinct().join(per_file, ["repo_id", "file_path"]).select("repo_id", "src", "package")
 
 
-def has_commit(commits: DataFrame, repos: DataFrame) -> DataFrame:
-    """Repository to commit, where the repository is there."""
-    return commits.select("repo_id", F.col("id").alias("commit_id")).join(repos.select(F.col("id").alias("repo_id")), "repo_id", "left_semi").distinct()
+def has_commit(commits: DataFrame, repos: DataFrame, by: str = "id") -> DataFrame:
+    """Repository to commit, where the repository is there; `by` as in `has_change`."""
+    known = commits.join(repos.select(F.col("id").alias("repo_id")), "repo_id", "left_semi")
+    return known.select(F.col(by).alias("_by"), "repo_id", F.col("id").alias("commit_id")).distinct().drop("_by")
 
 
-def has_change(changes: DataFrame, commits: DataFrame) -> DataFrame:
-    """Commit to change, where the commit is there."""
+def of_commits(changes: DataFrame, commits: DataFrame, by: str, how: str) -> DataFrame:
+    """Changes of known commits, found by a column of both that stands for the commit's id.
+
+    The repositories are compared as bounds, not as a key: tables dealt out by `by` are joined where they stand.
+    """
+    c = commits.select(F.col("repo_id").alias("_repo"), F.col(by).alias("_by"))
+    return changes.join(c, (F.col(by) == F.col("_by")) & F.col("repo_id").between(F.col("_repo"), F.col("_repo")), how)
+
+
+def has_change(changes: DataFrame, commits: DataFrame, by: str | None = None) -> DataFrame:
+    """Commit to change, where the commit is there.
+
+    by: a column of both that stands for the commit's id, by which they are dealt out; then neither is shuffled.
+    """
+    if by is not None:
+        return of_commits(changes, commits, by, "left_semi").select(by, "repo_id", "commit_id", "file_path").distinct().drop(by)
     return changes.select("repo_id", "commit_id", "file_path").join(commits.select("repo_id", F.col("id").alias("commit_id")), ["repo_id", "commit_id"], "left_semi").distinct()
 
 

@@ -50,13 +50,19 @@ MODEL = {
 TASK_ROWS = 500_000
 
 
-def _changes(lineitem: DataFrame, orders: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The rows of MODEL["changes"], made distinct as numbers where orders and lines meet, before their strings are made.
+def _parts(lineitem: DataFrame, orders: DataFrame) -> int:
+    """Parts that orders and their lines are dealt into by order, so that a task's rows stay bounded (counted from the footers)."""
+    spark = lineitem.sparkSession
+    # fewer than Spark's own number it would deal out anew for a join
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, max(lineitem.count(), orders.count()) // TASK_ROWS + 1)
+
+
+def _changes(lineitem: DataFrame, orders: DataFrame, symbols: DataFrame, n: int) -> DataFrame:
+    """The rows of MODEL["changes"] and o_orderkey, made distinct as numbers where orders and lines meet, before their strings are made.
 
     A DISTINCT of the strings, nearly all of which differ, held them in each task and shuffled them once more.
     """
-    spark = lineitem.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, lineitem.count() // TASK_ROWS + 1)  # counted from the footers
     files = identified(symbols.select("repo_id", "file_path"), "file")
     s, f = symbols.alias("s"), files.alias("f")
     at = s.join(f, F.expr("s.repo_id <=> f.repo_id AND s.file_path <=> f.file_path")).select("part_key", "file")
@@ -65,7 +71,16 @@ def _changes(lineitem: DataFrame, orders: DataFrame, symbols: DataFrame) -> Data
     known = orders.select("o_orderkey", status).repartition(n, "o_orderkey")
     rows = known.join(touched, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "status", "file").distinct()
     kind = F.expr("CASE status WHEN 'M' THEN 'modified' WHEN 'A' THEN 'added' ELSE 'deleted' END").alias("type")
-    return rows.join(files, "file").select("repo_id", F.sha1(F.col("o_orderkey").cast("string")).alias("commit_id"), "file_path", "status", kind)
+    return rows.join(files, "file").select("o_orderkey", "repo_id", F.sha1(F.col("o_orderkey").cast("string")).alias("commit_id"), "file_path", "status", kind)
+
+
+def commit_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """commits and changes, both dealt out by o_orderkey, which stands for the commit's id in both: joined by it, they are not shuffled again."""
+    lineitem, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    n = _parts(lineitem, orders)
+    (symbols,) = tables(spark, sf_dir, "symbols")
+    commits = spark.sql(_replace_table(MODEL["commits"], "FROM", "orders"), t_orders=orders.repartition(n, "o_orderkey"))
+    return commits, _changes(lineitem, orders, symbols, n)
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -75,7 +90,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
     def get(name: str) -> DataFrame:
         if name == "changes" and name not in made:
-            made[name] = _changes(raw["lineitem"], raw["orders"], get("symbols"))
+            made[name] = _changes(raw["lineitem"], raw["orders"], get("symbols"), _parts(raw["lineitem"], raw["orders"])).drop("o_orderkey")
         if name not in made:
             sql = MODEL[name]
             frames = {}

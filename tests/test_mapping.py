@@ -5,7 +5,9 @@ from collections import Counter
 import duckdb
 import pytest
 
-from ripplemark.plans.mapping import MODEL, tables, with_sql
+from ripplemark.operators.graph import has_change, has_commit
+from ripplemark.plans.mapping import MODEL, commit_tables, tables, with_sql
+from ripplemark.plans.queries import QUERIES
 
 
 @pytest.fixture
@@ -40,3 +42,32 @@ def test_changes_are_made_distinct_as_numbers(spark, odd):
     assert Counter(map(tuple, df.collect())) == from_sql(odd, "changes", df.columns)
     aggregates = [x for x in plan(df).splitlines() if "Aggregate(" in x]
     assert aggregates and not any("commit_id" in x or "file_path" in x for x in aggregates)
+
+
+def test_commits_and_changes_are_joined_where_they_were_dealt_out(spark, odd):
+    repos, commits, changes = tables(spark, odd, "repos", "commits", "changes")
+    c, h = commit_tables(spark, odd)
+    assert Counter(map(tuple, c.collect())) == Counter(map(tuple, commits.collect()))
+    assert Counter(map(tuple, h.drop("o_orderkey").collect())) == Counter(map(tuple, changes.collect()))
+    for by_number, by_name in ((has_commit(c, repos, "o_orderkey"), has_commit(commits, repos)), (has_change(h, c, "o_orderkey"), has_change(changes, commits))):
+        got = Counter(map(tuple, by_number.collect()))
+        assert got and got == Counter(map(tuple, by_name.collect()))
+
+
+def test_joined_commits_repeat_as_in_sql(spark, odd):
+    from ripplemark.operators.graph import of_commits
+
+    c, h = commit_tables(spark, odd)
+    got = Counter(map(tuple, of_commits(h, c, "o_orderkey", "inner").select("commit_id", "file_path", "type").collect()))
+    assert max(got.values()) > 1 and got == from_sql(odd, "commits AS c JOIN changes AS h ON h.repo_id = c.repo_id AND h.commit_id = c.id", ["commit_id", "file_path", "h.type"])
+
+
+@pytest.mark.parametrize("name", ["j7_commit_edges"])
+def test_commits_are_not_shuffled_by_their_strings(spark, odd, name):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = [x for x in plan(QUERIES[name](spark, odd)).splitlines() if "Exchange hashpartitioning(" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert any("o_orderkey" in x for x in shuffles) and not any("commit_id" in x for x in shuffles)
