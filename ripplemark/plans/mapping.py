@@ -58,6 +58,18 @@ def _parts(lineitem: DataFrame, orders: DataFrame) -> int:
     return max(least, max(lineitem.count(), orders.count()) // TASK_ROWS + 1)
 
 
+def _pairs(lineitem: DataFrame) -> DataFrame:
+    """The rows of MODEL["pairs"]: lines meet in so many parts that a task's rows stay bounded, where Spark's own number is too small for them."""
+    n = lineitem.count() // TASK_ROWS + 1  # counted from the footers
+    lines = lineitem.select("l_orderkey", "l_partkey", "l_linenumber")
+    this, after = ["l_partkey % 5", "l_orderkey", "l_linenumber + 1"], ["l_partkey % 5", "l_orderkey", "l_linenumber"]
+    a = b = lines
+    if n > int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        a, b = (lines.repartition(n, *map(F.expr, keys)) for keys in (this, after))
+    same = F.expr("a.l_partkey % 5 = b.l_partkey % 5 AND a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1")
+    return a.alias("a").join(b.alias("b"), same).select(F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b")).distinct()
+
+
 def _changes(lineitem: DataFrame, orders: DataFrame, symbols: DataFrame, n: int) -> DataFrame:
     """The rows of MODEL["changes"] and o_orderkey, made distinct as numbers where orders and lines meet, before their strings are made.
 
@@ -91,6 +103,8 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     def get(name: str) -> DataFrame:
         if name == "changes" and name not in made:
             made[name] = _changes(raw["lineitem"], raw["orders"], get("symbols"), _parts(raw["lineitem"], raw["orders"])).drop("o_orderkey")
+        if name == "pairs" and name not in made:
+            made[name] = _pairs(raw["lineitem"])
         if name not in made:
             sql = MODEL[name]
             frames = {}

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from ripplemark.operators.graph import has_change, has_commit
+from ripplemark.plans import mapping
 from ripplemark.plans.mapping import MODEL, commit_tables, tables, with_sql
 from ripplemark.plans.queries import QUERIES
 
@@ -71,3 +72,18 @@ def test_commits_are_not_shuffled_by_their_strings(spark, odd, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert any("o_orderkey" in x for x in shuffles) and not any("commit_id" in x for x in shuffles)
+
+
+@pytest.mark.parametrize("task_rows", [20, 500_000])
+def test_lines_meet_in_parts_of_bounded_rows(spark, odd, monkeypatch, task_rows):
+    monkeypatch.setattr(mapping, "TASK_ROWS", task_rows)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (df,) = tables(spark, odd, "pairs")
+        assert Counter(map(tuple, df.collect())) == from_sql(odd, "pairs", df.columns)
+        dealt = [x for x in plan(df).splitlines() if "Exchange hashpartitioning((l_partkey" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    parts = 405 // task_rows + 1 if task_rows == 20 else 8
+    assert dealt and all(f", {parts})" in x for x in dealt)
