@@ -39,19 +39,26 @@ def plain(spark):
 def test_impacted_symbols_of_reports_are_not_shuffled(code, plain):
     """What a profile reaches is gathered where the profile stands; only commits with their own lists are dealt out."""
     got = jobs.analyze_changes(*code)
-    for name in ("reports", "risk"):
+    for name in ("reports", "risk", "summary"):
         shuffles = exchanged(got[name]._jdf.queryExecution().executedPlan())
         assert shuffles and not [x for x in shuffles if {"row", "impacted_symbols", "_near", "test_gaps"} & set(x)], name
 
 
 def test_rows_do_not_depend_on_size(code, monkeypatch):
     """Dictionaries that are too many rows to be sent whole, and few pairs in a task, give the same rows."""
-    outs = ("reports", "risk", "impacted")
+    outs = ("reports", "risk", "summary", "impacted")
     want = jobs.analyze_changes(*code)
     want = {n: sorted(map(repr, want[n].select(*sorted(want[n].columns)).collect())) for n in outs}
-    assert len(want["reports"]) == 48 and want["impacted"]
+    assert len(want["reports"]) == len(want["summary"]) == 48 and want["impacted"]
     monkeypatch.setattr(upsert, "FEW_ROWS", -1)
     monkeypatch.setattr(impact, "PAIRS", 1)
     got = jobs.analyze_changes(*code)
     for n in outs:
         assert sorted(map(repr, got[n].select(*sorted(got[n].columns)).collect())) == want[n], n
+
+
+def test_summary_counts_what_reports_list(code):
+    got = jobs.analyze_changes(*code)
+    listed = {(r.repo_id, r.commit_id): (len({s.file for s in r.changed_symbols}), len({s.file for s in r.impacted_symbols}), len(r.test_gaps), len(r.tests_to_run), ",".join(s.symbol for s in r.changed_symbols)) for r in got["reports"].collect()}
+    assert {(r.repo_id, r.commit_id): (r.changed_files, r.impacted_files, r.gaps, r.tests, r.names) for r in got["summary"].collect()} == listed
+    assert any(x[1] == 0 for x in listed.values()) and any(x[1] > 1 for x in listed.values())
