@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .impact import first_n
+from .numbers import identified
 from .upsert import cut
 
 # Words of a question that name no symbol.
@@ -84,16 +85,40 @@ def seed_context(radius: DataFrame, coverage: DataFrame, hints: DataFrame) -> Da
     return out.select("symbol_hint", F.concat(F.lit("Symbol: "), F.col("symbol_hint"), F.lit("\nHas test coverage: "), has, F.lit("\n"), F.coalesce(F.concat(F.lit("Downstream symbols:\n"), F.col("down")), F.lit("No downstream symbols found in the graph."))).alias("lines"))
 
 
+#: Bytes of different contexts that one task writes, if it can: they fit Parquet's dictionary, so that equal ones are written once.
+CONTEXT_BYTES = 400_000
+
+
+def _texts(asked: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(question_id, list) of the questions that name something known, (list, text) dealt out by list, and in how many parts.
+
+    asked: (question_id, i, k, hint); known: (k, hint, lines).  Questions that name the same in the same order have one
+    list of hints, whose text is put together once; so a text is shuffled once for each list, not for each question.
+    """
+    known = cut(known.withColumn("id", F.monotonically_increasing_id()))
+    ids = asked.join(known.select("k", "hint", "id"), ["k", "hint"]).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("i", "id")))["id"].alias("ids"))
+    ids = cut(ids)
+    lists = identified(ids.select("ids"), "list")
+    each = lists.select("list", F.posexplode("ids").alias("i", "id"))
+    sizes = each.join(known.select("id", F.octet_length("lines").alias("n")), "id").agg(F.sum("n"), F.count_distinct("list")).first()
+    parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(sizes[1], (sizes[0] or 0) // CONTEXT_BYTES))
+    pieces = each.join(known.select("id", "lines"), "id").repartition(parts, "list")
+    texts = pieces.groupBy("list").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "lines"))), lambda x: x["lines"]), "\n").alias("text"))
+    return ids.join(lists, "ids").select("question_id", "list"), texts, parts
+
+
 def answer_context(questions: DataFrame, of_file: DataFrame, of_symbol: DataFrame, of_seed: DataFrame | None = None) -> DataFrame:
     """(question_id, context): the text for each question; its own symbol's if it has one, else its hints' in order."""
-    hints = extract_hints(questions)
+    hints, own = extract_hints(questions), None
+    if of_seed is not None:
+        of_seed = cut(of_seed)
+        own = hints.join(of_seed, "symbol_hint").select("question_id", F.col("lines").alias("context"))
+        hints = hints.join(of_seed, "symbol_hint", "left_anti")
     asked = hints.select("question_id", F.posexplode(F.concat(F.transform("files", lambda x: F.struct(F.lit(0).alias("k"), x.alias("hint"))), F.transform("words", lambda x: F.struct(F.lit(1).alias("k"), x.alias("hint"))))).alias("i", "h")).select("question_id", "i", "h.k", "h.hint")
-    known = of_file.withColumn("k", F.lit(0)).unionByName(of_symbol.withColumn("k", F.lit(1)))
-    text = asked.join(known, ["k", "hint"]).groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "lines"))), lambda x: x["lines"]), "\n").alias("text"))
-    out = hints.join(text, "question_id", "left")
+    of_question, texts, parts = _texts(asked, of_file.withColumn("k", F.lit(0)).unionByName(of_symbol.withColumn("k", F.lit(1))))
     none = F.when(F.size("files") > 0, F.concat(F.lit("No data found in graph for: "), F.array_join("files", ", "))).otherwise("No symbol context provided.")
-    if of_seed is None:
-        return out.select("question_id", F.coalesce("text", none).alias("context"))
-    out = out.join(of_seed, "symbol_hint", "left")
-    return out.select("question_id", F.coalesce("lines", "text", none).alias("context"))
-
+    # questions go to the texts, which stay where they were put together
+    named = hints.select("question_id", none.alias("none")).join(of_question, "question_id", "left")
+    some = named.filter("list IS NOT NULL").repartition(parts, "list").join(texts, "list").select("question_id", F.col("text").alias("context"))
+    out = some.unionByName(named.filter("list IS NULL").select("question_id", F.col("none").alias("context")))
+    return out if own is None else out.unionByName(own)
