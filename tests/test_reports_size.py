@@ -44,8 +44,9 @@ def test_impacted_symbols_of_reports_are_not_shuffled(code, plain):
         assert shuffles and not [x for x in shuffles if {"row", "impacted_symbols", "_near", "test_gaps"} & set(x)], name
 
 
-def test_rows_do_not_depend_on_size(code, monkeypatch):
+def test_rows_do_not_depend_on_size(spark, code, plain, monkeypatch):
     """Dictionaries that are too many rows to be sent whole, and few pairs in a task, give the same rows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
     outs = ("reports", "risk", "summary", "impacted")
     want = jobs.analyze_changes(*code)
     want = {n: sorted(map(repr, want[n].select(*sorted(want[n].columns)).collect())) for n in outs}
